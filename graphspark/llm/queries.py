@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from graphspark.llm import exact_dedup, mixing
+from graphspark.llm import exact_dedup, language_id, mixing, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_toxicity": toxicity.query,
+    "op3_language_id": language_id.query,
+    "op6_warc": warc.query,
     "op8_mixing": mixing.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op6_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
 }
