@@ -18,7 +18,7 @@ from graphspark.llm.common import materialize
 CAPACITY = 2048
 SEPARATOR = 0
 #: Lengths above this share of the capacity are grouped; the others fill the gaps.
-LARGE = 1 / 5
+LARGE = 2 / 5
 #: Groups of equal cardinality.
 GROUPS = 128
 #: Pieces of one length are ranked in cells of about this many, at least MIN_CELLS.
