@@ -157,3 +157,47 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = first[:-1][row] + place
     return range_hashes(words, starts, starts + size, 0x27BB2EE687B0B0FD), row, place
+
+
+# --- Packed rows: arrays as one binary value, so that a shuffle moves few rows -------------------------------
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, one after the other; their types are known to the reader."""
+    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack_arrays(blobs, kinds: list[str]) -> list[np.ndarray]:
+    """Concatenates the arrays of all blobs that pack_arrays made."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for i, k in enumerate(kinds):
+            parts[i].append(np.frombuffer(blob, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
+
+
+def split_by(part: np.ndarray, *arrays: np.ndarray):
+    """Yields each value of part with its rows of the arrays, in their order."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    sorted_arrays = [a[order] for a in arrays]
+    for lo, hi in zip([0, *cuts], [*cuts, len(part)]):
+        yield int(part[lo]), *(a[lo:hi] for a in sorted_arrays)
+
+
+def to_part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Deals 64-bit hashes into parts by their upper bits."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+
+
+PACKED = "part int, data binary"
+
+
+def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
