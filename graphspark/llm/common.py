@@ -201,3 +201,70 @@ PACKED = "part int, data binary"
 
 def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
+
+
+# --- MinHash, lines, bounded filters ---------------------------------------------------------------------------
+
+
+@functools.cache
+def minhash_parameters(k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(2019)
+    return rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32), rng.integers(0, 1 << 31, k, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def minhash(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """(rows, k) minima of k permutations of the upper halves of hashes; starts: first hash of each row, none empty."""
+    flips, factors = minhash_parameters(k)
+    low, v = (h >> np.uint64(32)).astype(np.uint32), np.empty(len(h), np.uint32)
+    out = np.empty((len(starts), k), np.uint32)
+    for j in range(k):
+        np.bitwise_xor(low, flips[j], out=v)
+        np.multiply(v, factors[j], out=v)
+        out[:, j] = np.minimum.reduceat(v, starts)
+    return out
+
+
+def row_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct hashes of each row."""
+    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
+def line_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte, row and number in its row of every line that isn't blank, without white space at its ends."""
+    breaks = np.flatnonzero(raw == 10)
+    per_row = 1 + np.diff(np.searchsorted(breaks, offsets))
+    last = np.cumsum(per_row) - 1
+    n = int(per_row.sum())
+    starts, ends = np.empty(n, np.int64), np.empty(n, np.int64)
+    inner = np.ones(n, bool)
+    inner[last - per_row + 1] = False
+    starts[~inner], starts[inner] = offsets[:-1], breaks + 1
+    inner[:] = True
+    inner[last] = False
+    ends[~inner], ends[inner] = offsets[1:], breaks
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    number = np.arange(n) - np.repeat(last - per_row + 1, per_row)
+    solid = np.append(np.flatnonzero(~_SPACE[raw]), len(raw))
+    first = np.searchsorted(solid, starts)
+    final = np.searchsorted(solid, ends)
+    some = final > first
+    return solid[first[some]], solid[final[some] - 1] + 1, row[some], number[some].astype(np.int32)
+
+
+#: Cells of the filters that are broadcast: a bit each.
+FILTER_CELLS = 1 << 20
+
+
+def cell_filter(ids: DataFrame, id_col: str) -> np.ndarray:
+    """Which of FILTER_CELLS cells hold an id. Of a fixed size: a full one lets everything pass, and joins do the rest."""
+    cells = ids.select(F.pmod(F.col(id_col), F.lit(FILTER_CELLS)).cast("int").alias("cell"))
+    word = cells.select(F.expr("cell div 32").cast("int").alias("w"), F.expr("shiftleft(1L, cell % 32)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = np.zeros(FILTER_CELLS // 32, np.uint32)
+    for r in word:
+        bits[r["w"]] = r["b"]
+    return bits
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    cell = np.mod(ids.astype(np.int64), FILTER_CELLS)
+    return (bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) > 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphspark.llm import ann, exact_dedup, language_id, mixing, packing, substring_dedup, toxicity, warc
+from graphspark.llm import ann, exact_dedup, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
     "op9_ann": ann.query,
+    "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
