@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphspark.llm import ann, exact_dedup, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
+from graphspark.llm import ann, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_toxicity": toxicity.query,
     "op3_language_id": language_id.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op6_warc": warc.query,
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
