@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -35,7 +36,8 @@ def record(headers: list[tuple[str, object]], block):
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes request, response (or revisit) and metadata records of every page into uncompressed .warc text files.
+    """Writes request, response (or revisit) and metadata records of every page into gzipped archives, one gzip
+    stream a file.
 
     Of equal payloads of at least REVISIT_BYTES bytes the one with the smallest id is the response. Null payloads are
     empty; a null id is written as null and never is the smallest; line breaks in addresses are escaped. Payloads are
@@ -63,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     notes = F.concat(F.lit("capture-id: "), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("\r\n"))
     metadata = record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))], notes)
     lines = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
+    lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).option("compression", "gzip").text(path)
 
 
 RECORD = T.StructType(
@@ -72,10 +74,11 @@ RECORD = T.StructType(
 )
 
 
-def parse(data: memoryview):
-    """Yields the header fields (in lower case) and the block of each record of an archive."""
-    at, n = 0, len(data)
-    raw = data.obj if isinstance(data.obj, bytes) and len(data.obj) == n else bytes(data)
+def parse(raw: bytes):
+    """Yields the header fields (in lower case) and the block of each record of an archive, gzipped or not."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    at, n = 0, len(raw)
     while at < n:
         stop = raw.find(b"\r\n\r\n", at)
         if stop < 0 or not raw.startswith(b"WARC/", at):
@@ -101,7 +104,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for h, block in parse(memoryview(content.as_py())):
+                for h, block in parse(content.as_py()):
                     kind = h.get("warc-type")
                     body = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else b""
                     full = kind == "response"
