@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import PACKED, buffers, chunks, mix, pack_arrays, packed_batch, split_by, text_bytes, to_part, unpack_arrays, window_hashes, word_hashes, word_spans
+from graphspark.llm.common import PACKED, buffers, chunks, mix, packed_batch, split_by, text_bytes, to_part, window_hashes, word_hashes, word_spans
 
 WINDOW = 20
 #: Words of a short prefix; the suffixes of a prefix that is too frequent are split by their first WINDOW words.
@@ -20,7 +20,9 @@ CELLS = 1 << 12
 #: Suffixes of a group: what a task builds a tree of at once.
 GROUP_SUFFIXES = 1 << 20
 #: Suffixes that a task gathers before it passes them on.
-FLUSH = 2 << 20
+FLUSH = 1 << 20
+#: Bytes of text that a task gathers before it passes them on.
+FLUSH_TEXT = 32 << 20
 #: Bytes of text of a bucket of documents, in which words are removed at once.
 BUCKET_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -44,6 +46,67 @@ def id_array(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def squeeze(doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Documents and places in their order: runs of a document and steps, byte by byte, compressed."""
+    begin = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+    at = np.flatnonzero(begin)
+    step = np.diff(place, prepend=np.int32(0)).astype(np.int32)
+    step[at] = place[at]
+    ids = np.diff(doc[at], prepend=np.int64(0))
+    counts = np.diff(np.append(at, len(doc))).astype(np.int32)
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in (ids, counts, step))
+    return np.array([len(at), len(doc)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def expand(blob) -> tuple[np.ndarray, np.ndarray]:
+    """What squeeze() was given."""
+    m, n = np.frombuffer(blob, "<i8", 2).tolist()
+    raw = np.frombuffer(pa.decompress(memoryview(blob)[16:], 12 * m + 4 * n, "zstd"), np.uint8)
+
+    def column(at: int, size: int, kind: str) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.ascontiguousarray(raw[at : at + size * width].reshape(width, size).T).reshape(-1).view(kind)
+
+    ids, counts, step = column(0, m, "<i8"), column(8 * m, m, "<i4"), column(12 * m, n, "<i4")
+    total = np.cumsum(step, dtype=np.int64)
+    first = np.cumsum(counts) - counts
+    return np.repeat(np.cumsum(ids), counts), (total - np.repeat(total[first] - step[first], counts)).astype(np.int32)
+
+
+def unsqueeze(blobs) -> tuple[np.ndarray, np.ndarray]:
+    parts = [expand(b) for b in blobs] or [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def pack_texts(docs: DataFrame, bucket_at: int) -> DataFrame:
+    """Rows of docs as (part, data): a task's rows of one bucket together, compressed, so that the shuffle moves less."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held).combine_chunks()
+            bucket = table.column(bucket_at).to_numpy()
+            rows = []
+            for part, at in split_by(bucket, np.arange(len(bucket))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(table.take(pa.array(at)))
+                rows.append((part, sink.getvalue().to_pybytes()))
+            return packed_batch(rows)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= FLUSH_TEXT:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, PACKED)
+
+
 def partition_prefixes(counts: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Deals the prefix cells into groups of at most `size` suffixes, by best fit. A cell with more gets as many groups of its own,
     among which its suffixes are dealt by a longer prefix. First group and number of groups of each cell."""
@@ -122,7 +185,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
 
     def marks(doc: np.ndarray, place: np.ndarray):
         for bucket, d, p in split_by(bucket_of(doc, buckets), doc, place):
-            yield marks_from + bucket, pack_arrays(d, p)
+            yield marks_from + bucket, squeeze(d, p)
 
     def send(batches):
         gathered, n = [], 0
@@ -130,12 +193,13 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
         def flush():
             prefix, path, doc, place = (np.concatenate(c) for c in zip(*gathered))
             order, leads, later = mark_rows(path, doc, place)
-            lead = order[leads]
+            lead = np.sort(order[leads])
             prefix, sent = prefix[lead], path[lead]
             cell = to_part(prefix, CELLS)
             part = first[cell] + to_part(sent, 1 << 20).astype(np.int64) * number[cell] // (1 << 20)
-            out = list(marks(doc[order[later]], place[order[later]]))
-            out += [(g, pack_arrays(a, b, c)) for g, a, b, c in split_by(part.astype(np.int32), sent, doc[lead], place[lead])]
+            gone = np.sort(order[later])
+            out = list(marks(doc[gone], place[gone]))
+            out += [(g, np.int64(len(a)).tobytes() + a.tobytes() + squeeze(b, c)) for g, a, b, c in split_by(part.astype(np.int32), sent, doc[lead], place[lead])]
             for lo in range(0, len(out), 256):
                 yield packed_batch(out[lo : lo + 256])
 
@@ -153,9 +217,13 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
         part = table["part"][0].as_py()
         if part >= marks_from:
             return pa.table([pa.array([part - marks_from] * table.num_rows, pa.int32()), table["data"]], names=["part", "data"])
-        path, doc, place = unpack_arrays((b.as_buffer() for b in table["data"]), ["u8", "i8", "i4"])
+        blobs = [memoryview(b.as_buffer()) for b in table["data"]]
+        sizes = [int(np.frombuffer(b, "<i8", 1)[0]) for b in blobs]
+        path = np.concatenate([np.frombuffer(b, "<u8", n, 8) for b, n in zip(blobs, sizes)])
+        doc, place = unsqueeze(b[8 + 8 * n :] for b, n in zip(blobs, sizes))
         order, _, later = mark_rows(path, doc, place)
         found = order[later]
+        found = found[np.lexsort((place[found], doc[found]))]
         out = [(b - marks_from, data) for b, data in marks(doc[found], place[found])]
         return pa.Table.from_batches([packed_batch(out)])
 
@@ -196,15 +264,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = prime_at_least(max(2, text_bytes(docs, text_col) // BUCKET_BYTES))
     found = repeated_windows(docs, id_col, text_col, buckets, window)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
-    left = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("part"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    left = pack_texts(docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("part"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), 0)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def apply(texts: pa.Table, marked: pa.Table) -> pa.Table:
-        doc, place = unpack_arrays((b.as_buffer() for b in marked["data"]), ["i8", "i4"])
+        doc, place = unsqueeze(b.as_buffer() for b in marked["data"])
         order = np.argsort(doc, kind="stable")
         doc, place = doc[order], place[order]
         tables = []
-        for batch in texts.combine_chunks().to_batches():
+        for batch in (b for data in texts["data"] for b in pa.ipc.open_stream(data.as_buffer())):
             ids = id_array(batch.column("doc_id"))
             offsets, raw = buffers(batch.column("text"))
             for lo, hi in chunks(offsets):
