@@ -77,4 +77,4 @@ def work_balance(g: Graph) -> DataFrame:
 
 def size_in_bytes(g: Graph) -> int:
     """The optimizer's estimate for both tables."""
-    return sum(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for df in (g.vertices, g.edges))
+    return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (g.vertices, g.edges))
