@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -11,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once by the numpy kernels; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text handled at once by the numpy kernels, so that their arrays stay in cache; a longer document is handled alone.
+CHUNK_BYTES = 1 << 17
 #: Words: runs of anything but these bytes (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -45,8 +47,25 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows and bytes of an Arrow batch at most: what a Python worker, and the JVM beside it, hold of a partition at once.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to ours; a lower limit stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Gives what a finished task has freed back to the system: Python workers live on, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:
@@ -59,6 +78,22 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Groups that join_groups broadcasts: the largest ones, and never more.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread) -> DataFrame:
+    """rows with the columns of their group, null where there is none; groups has one row for each key.
+
+    The HOT_GROUPS largest groups are broadcast, and their rows then go to the other join under `spread`, a value of the
+    key's type that differs from row to row; so no key of that join has more than one in HOT_GROUPS of the rows."""
+    columns = [c for c in groups.columns if c != key]
+    hot = groups.orderBy(F.desc(size), key).limit(HOT_GROUPS).select(key, *[F.col(c).alias(f"__hot_{c}") for c in columns], F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("__join", F.when(F.col("__hot"), spread).otherwise(F.col(key)))
+    joined = marked.join(groups.withColumnRenamed(key, "__join"), "__join", "left")
+    return joined.withColumns({c: F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)) for c in columns}).drop("__join", "__hot", *[f"__hot_{c}" for c in columns])
+
+
 # --- Arrow buffers -------------------------------------------------------------------------------------------
 
 
@@ -110,7 +145,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 64 * CHUNK_BYTES:
             _POWERS[base] = have
     return have
 
@@ -159,6 +194,25 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     return range_hashes(words, starts, starts + size, 0x27BB2EE687B0B0FD), row, place
 
 
+class Seen:
+    """What a task has met lately, so that repeats are passed on once: forgetting costs repeats, never rows."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.names: set[int] = set()
+        self.most = most
+
+    def new(self, names: np.ndarray) -> np.ndarray:
+        """Which of the names weren't met before; only the first of equal ones is."""
+        if len(self.names) > self.most:
+            self.names.clear()
+        out = np.zeros(len(names), bool)
+        for i, name in enumerate(names.tolist()):
+            if name not in self.names:
+                self.names.add(name)
+                out[i] = True
+        return out
+
+
 # --- Packed rows: arrays as one binary value, so that a shuffle moves few rows -------------------------------
 
 
@@ -244,11 +298,26 @@ def line_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     ends[~inner], ends[inner] = offsets[1:], breaks
     row = np.repeat(np.arange(len(per_row)), per_row)
     number = np.arange(n) - np.repeat(last - per_row + 1, per_row)
-    solid = np.append(np.flatnonzero(~_SPACE[raw]), len(raw))
-    first = np.searchsorted(solid, starts)
-    final = np.searchsorted(solid, ends)
-    some = final > first
-    return solid[first[some]], solid[final[some] - 1] + 1, row[some], number[some].astype(np.int32)
+    for _ in range(8):
+        blank = np.flatnonzero(starts < ends)
+        blank = blank[_SPACE[raw[starts[blank]]]]
+        if not len(blank):
+            break
+        starts[blank] += 1
+    else:  # long runs of white space
+        solid = np.append(np.flatnonzero(~_SPACE[raw]), len(raw))
+        starts = np.minimum(solid[np.searchsorted(solid, starts)], ends)
+    for _ in range(8):
+        blank = np.flatnonzero(starts < ends)
+        blank = blank[_SPACE[raw[ends[blank] - 1]]]
+        if not len(blank):
+            break
+        ends[blank] -= 1
+    else:
+        solid = np.append(-1, np.flatnonzero(~_SPACE[raw]))
+        ends = np.maximum(solid[np.searchsorted(solid, ends) - 1] + 1, starts)
+    some = starts < ends
+    return starts[some], ends[some], row[some], number[some].astype(np.int32)
 
 
 #: Cells of the filters that are broadcast: a bit each.

@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = materialize(small, "components")
@@ -61,6 +61,8 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, as a product of incidence matrices in slices."""
     n = len(sets)
+    if n == 2:
+        return np.array([[0, 1], [1, 0]], np.float32) * len(np.intersect1d(*sets, assume_unique=True))
     sizes = np.array([len(s) for s in sets])
     every, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), sizes)
