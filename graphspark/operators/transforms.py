@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
+from graphspark.plans.tables import materialize
 
 
 def transpose(g: Graph) -> Graph:
@@ -25,10 +26,11 @@ def relabel(g: Graph, mapping: DataFrame) -> Graph:
 
 
 def dense_rank_ids(rows: DataFrame, *order: Column) -> DataFrame:
-    """id, new_id: 0, 1, ... in the given order, without a window over all rows: a range partition each has its own numbers, which
-    start where the ones before it end. The starts are one number for each partition."""
+    """id, new_id: 0, 1, ... in the given order, without a window over all rows: each range partition numbers its own
+    rows, and starts where the one before it ends. What is broadcast is one number for each partition."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    parts = parts.select("id", "p", (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33)).alias("i")).cache()
+    # Written, not cached: ranges are sampled, so what is lost must not be computed again.
+    parts, _ = materialize(parts.select("id", "p", (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33)).alias("i")), "ranks")
     counts = sorted((r["p"], r["n"]) for r in parts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = [], 0
     for p, n in counts:

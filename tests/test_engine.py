@@ -157,6 +157,16 @@ def test_streaming_components(spark):
     assert R.column(s.state, "component") == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}
 
 
+def test_stream_of_edges(spark, tmp_path):
+    for k, batch in enumerate(([(0, 1)], [(1, 2), (7, 8)])):
+        spark.createDataFrame(batch, "src long, dst long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    s = StreamingComponents(spark)
+    q = s.start(spark.readStream.schema("src long, dst long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "progress"))
+    q.processAllAvailable()
+    q.stop()
+    assert R.column(s.state, "component") == {0: 0, 1: 0, 2: 0, 7: 7, 8: 7}
+
+
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["convert", "-gen", "-s", "4", "-e", "3", "-o", str(tmp_path / "g")]) == 0
     assert cli.main(["run", "bfs", "-load", str(tmp_path / "g"), "-check"]) == 0
