@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import materialize
+from graphspark.llm.common import bound_batches, materialize
 
 #: Vectors that the partitions and the classifier are learned from. The only sample that is drawn; every row is indexed.
 SAMPLE = 6000
@@ -167,6 +167,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     no part, nor do null ids. Rows that repeat are candidates each, except for the query's own id. An empty table, or a
     table of one vector, gives an empty table."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     e = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import buffers, chunks, held_out
+from graphspark.llm.common import bound_batches, buffers, chunks, held_out
 
 #: Documents learned from per language, and the longest that is learned from. The only sample that is drawn.
 TRAIN_DOCS = 300
@@ -18,7 +18,7 @@ TRAIN_DOC_BYTES = 1 << 16
 #: Longest context in bytes.
 ORDER = 3
 #: Size of the table of code lengths; it bounds how many contexts the trees keep, the most frequent first.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 #: Bytes of evidence that a score counts at most, so that it doesn't saturate on long texts.
 SCORE_BYTES = 50
 
@@ -65,29 +65,33 @@ def fit(texts: list[bytes], labels: list[str], table_bytes: int = TABLE_BYTES) -
     kept = [np.zeros(1, np.int64)] + [k[c >= max(least, 2)] for _, k, c in found]
     base = np.full(a, 1 / 256)
     base[-1] = (257 - a) / 256
-    start, probability, rows_of, lookup = 0, [], [], None
+    start, probability, shorter, lookup = 0, [], None, None
     for order, mine in enumerate(kept):
         longer = np.arange(a**order)
         rows_of_order = np.zeros(a**order, np.int32) if order == 0 else lookup[longer % a ** (order - 1)]
         parents = rows_of_order[mine]
         rows_of_order = rows_of_order.copy()
         rows_of_order[mine] = start + np.arange(len(mine))
-        counts = np.zeros((len(mine), len(languages), a))
-        for li, g in enumerate(grams):
-            k = keys(g, order)
-            at = np.searchsorted(mine, k)
-            ok = (at < len(mine)) & (mine[np.minimum(at, len(mine) - 1)] == k) if len(mine) else np.zeros(len(k), bool)
-            counts[:, li] = np.bincount(at[ok] * a + g[ok, -1], minlength=len(mine) * a).reshape(len(mine), a)
-        low = np.broadcast_to(base, counts.shape) if order == 0 else np.concatenate(probability)[parents]
-        n, had = counts.sum(2, keepdims=True), counts > 0
-        q = had.sum(2, keepdims=True)
-        rest = np.maximum(1 - (low * had).sum(2, keepdims=True), 1e-9)
-        probability.append(np.where(n == 0, low, np.where(had, counts / np.maximum(n + q, 1), q / np.maximum(n + q, 1) * low / rest)))
-        rows_of.append(rows_of_order)
+        places = [(np.searchsorted(mine, keys(g, order)), keys(g, order), g[:, -1]) for g in grams]
+        tree = np.empty((len(mine), len(languages), a), np.float32)
+        for lo in range(0, len(mine), 1024):
+            hi = min(lo + 1024, len(mine))
+            counts = np.zeros((hi - lo, len(languages), a))
+            for li, (at, k, nxt) in enumerate(places):
+                here = np.flatnonzero((at >= lo) & (at < hi))
+                here = here[mine[at[here]] == k[here]]
+                counts[:, li] = np.bincount((at[here] - lo) * a + nxt[here], minlength=(hi - lo) * a).reshape(hi - lo, a)
+            low = np.broadcast_to(base, counts.shape) if order == 0 else shorter[parents[lo:hi]]
+            n, had = counts.sum(2, keepdims=True), counts > 0
+            q = had.sum(2, keepdims=True)
+            rest = np.maximum(1 - (low * had).sum(2, keepdims=True), 1e-9)
+            tree[lo:hi] = np.where(n == 0, low, np.where(had, counts / np.maximum(n + q, 1), q / np.maximum(n + q, 1) * low / rest))
+        probability.append(tree)
+        shorter = np.concatenate(probability)
         lookup, start = rows_of_order, start + len(mine)
-    bits = -np.log2(np.concatenate(probability))
-    bits[:, :, -1] += np.log2(257 - a)
-    return Model(languages, symbol.astype(np.uint8), lookup, np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(-1, len(languages)), np.float32))
+    bits = -np.log2(shorter)
+    bits[:, :, -1] += np.float32(np.log2(257 - a))
+    return Model(languages, symbol.astype(np.uint8), lookup, np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(len(bits) * a, len(languages)), np.float32))
 
 
 def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -162,6 +166,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     is broadcast once. Null texts and texts without a letter are und with score 0; an empty table gives an empty table;
     columns named like the results are replaced; ties go to the language that sorts first."""
     spark = docs.sparkSession
+    bound_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score", "bits_per_byte")]
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import materialize
+from graphspark.llm.common import bound_batches, materialize, release_memory
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -39,7 +39,10 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    @functools.cache
+    def own() -> Tokenizer:  # large, and rarely needed
+        return Tokenizer.from_file(path)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec["added_tokens"]]
@@ -52,7 +55,7 @@ def encoder(path: str):
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return own.encode(text, add_special_tokens=False).ids
+            return own().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -75,6 +78,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     rows.append(i), piece.append(k), start.append(at), length.append(n), crc.append(zlib.crc32(ids[at : at + n].tobytes()))
                     at += n
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=schema.names)
+        release_memory()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -245,6 +249,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     Edge cases: null and empty texts are one separator; rows that repeat are packed each; a null id stays null; an
     empty table gives an empty table. Reruns give the same packing."""
     spark = docs.sparkSession
+    bound_batches(spark)
     table, _ = materialize(pieces(docs, path or tokenizer_path(), id_col, text_col, capacity), "packing-pieces")
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
     plan = make_plan(counts, capacity)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import PACKED, buffers, chunks, mix, packed_batch, split_by, text_bytes, to_part, window_hashes, word_hashes, word_spans
+from graphspark.llm.common import PACKED, bound_batches, buffers, chunks, mix, packed_batch, split_by, text_bytes, to_part, window_hashes, word_hashes, word_spans
 
 WINDOW = 20
 #: Words of a short prefix; the suffixes of a prefix that is too frequent are split by their first WINDOW words.
@@ -261,6 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Edge cases: a null text has no words. Null ids sort last and count as one document, and so do rows that repeat an
     id: a window at the same place of the same id isn't earlier than itself, and a place marked in one of these rows is
     marked in all. An empty table gives an empty table."""
+    bound_batches(docs.sparkSession)
     buckets = prime_at_least(max(2, text_bytes(docs, text_col) // BUCKET_BYTES))
     found = repeated_windows(docs, id_col, text_col, buckets, window)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
@@ -288,3 +289,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(list_slice(w, k + 1, k + 20), ' ') AS words FROM d, unnest(range(0, len(w) - 19)) t(k)),
+later AS (SELECT doc_id, k FROM win QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, k) > 1),
+cover AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS i FROM later),
+word AS (SELECT doc_id, i, w[i + 1] AS x FROM d, unnest(range(0, len(w))) t(i)),
+kept AS (SELECT doc_id, count(c.i) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE c.i IS NULL) AS kept FROM word LEFT JOIN cover c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import held_out
+from graphspark.llm.common import bound_batches, held_out
 
 #: Labelled documents learned from, per class, and the longest that is learned from. The only sample that is drawn.
 TRAIN_DOCS = 4000
@@ -161,6 +161,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     The score depends on the whole text alone. The model is at most 2 * MAX_ENTRIES short strings. A null text counts
     as empty, which has the score of a text without matches; an empty table gives an empty table; columns named like
     the results are replaced."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("toxicity", "n_matches")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("toxicity", T.DoubleType()), T.StructField("n_matches", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
