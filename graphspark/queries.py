@@ -152,7 +152,7 @@ def walk(s, d):
 
 def max_flow(s, d):
     """From the vertex that most different vertices follow to the one that most precede, ties to the smallest."""
-    g = G3(s, d)
+    g = G2(s, d)
     top = lambda a, b: g.edges.where("src <> dst").groupBy(a).agg(F.countDistinct(b).alias("n")).orderBy(F.desc("n"), a).first()[0]
     source = top("src", "dst")
     sink = g.edges.where(f"src <> dst and dst <> {source}").groupBy("dst").agg(F.countDistinct("src").alias("n")).orderBy(F.desc("n"), "dst").first()[0]
