@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import PACKED, buffers, cell_filter, chunks, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, split_by, to_part, word_hashes
-from graphspark.llm.components import comparison_rows, connected_components, exact_links, local_roots, with_sizes
+from graphspark.llm.common import PACKED, Seen, bound_batches, buffers, cell_filter, chunks, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_hashes
+from graphspark.llm.components import comparison_rows, connected_components, exact_links, with_sizes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -21,6 +21,8 @@ TOKENS = 64
 ESTIMATE = 0.6
 #: Buckets of up to this many sets are compared pairwise; larger ones are split on another token.
 BRUTE = 256
+#: A larger bucket is compared at once too if so many of its sets are similar to one of them: it is one component, or nearly.
+DENSE = 0.9
 MAX_DEPTH = 8
 #: A bucket with more is dealt by a hash into several, in each run in another way.
 HOT = 20_000
@@ -28,7 +30,7 @@ HOT = 20_000
 CELLS = 1 << 14
 #: Sets of a group: what a task compares at once.
 GROUP_SETS = 1 << 17
-FLUSH = 1 << 15
+FLUSH = 1 << 14
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +68,12 @@ def linked(sketch: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def split(sketch: np.ndarray, at: np.ndarray, path: int, depth: int, out: list) -> None:
-    """The bucket `at` (rows of sketch), reached by a path of tokens. A small one is compared; a larger one is split on a token
-    that a hash of the path chooses. Adds rows (member, the row that it is linked with); pairs that are connected through these aren't
-    compared again."""
+    """The bucket `at` (rows of sketch), reached by a path of tokens. A small one is compared; a larger one is split on a
+    token that a hash of the path chooses. Adds rows (member, a row of the component that it is linked with); pairs that
+    are connected through these aren't compared again."""
     if len(at) < 2:
         return
-    if len(at) > BRUTE and depth < MAX_DEPTH:
+    if len(at) > BRUTE and depth < MAX_DEPTH and linked(sketch[at], sketch[at[0]]).mean() < DENSE:
         token = int(mix(np.array([path], np.uint64))[0] % np.uint64(TOKENS - RUNS)) + RUNS
         values = sketch[at, token]
         parts = [at[values == v] for v in np.unique(values)]
@@ -89,9 +91,9 @@ def split(sketch: np.ndarray, at: np.ndarray, path: int, depth: int, out: list)
         groups.append(group)
         for member in group[1:]:
             out.append((member, group[0]))
-        for member in group[1:] if len(rest) else ():
-            for other in rest[linked(sketch[rest], sketch[member])]:
-                out.append((other, member))
+        for other in rest if len(group) > 1 else ():
+            if linked(sketch[group[1:]], sketch[other]).any():
+                out.append((other, group[0]))
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,9 +114,9 @@ def meet(table: pa.Table) -> pa.Table:
     key = key[order]
     cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
     found: list[tuple[int, int]] = []
-    for at in np.split(order, cuts):
+    for start, at in zip(key[[0, *cuts]] if len(key) else (), np.split(order, cuts)):
         if len(at) > 1:
-            split(rows, at, 1, 1, found)
+            split(rows, at, int(start) & ((1 << 62) - 1), 1, found)
     pairs = np.unique(ids[np.array(found, np.int64).reshape(-1, 2)], axis=0)
     return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
@@ -149,16 +151,15 @@ def candidate_edges(sets: DataFrame, n: int) -> DataFrame:
             for lo in range(0, len(out), 256):
                 yield packed_batch(out[lo : lo + 256])
 
-        seen = np.zeros(0, np.int64)
+        seen = Seen()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, some, minima in sketches(batch.column(1)):
-                mine, at = np.unique(ids[lo + some], return_index=True)
-                new = ~np.isin(mine, seen)
-                mine, at = mine[new], at[new]
+                mine = ids[lo + some]
+                at = np.flatnonzero(seen.new(mine))
+                mine = mine[at]
                 if not len(mine):
                     continue
-                seen = mine if len(seen) > 8 * FLUSH else np.concatenate([seen, mine])
                 minima = minima[at]
                 keys = first_keys(minima)
                 # Each run deals a large bucket in another way: what similar sets it parts meets in the others.
@@ -172,6 +173,7 @@ def candidate_edges(sets: DataFrame, n: int) -> DataFrame:
                     gathered, waiting = [], 0
         if waiting:
             yield from flush()
+        release_memory()
 
     return sets.mapInArrow(send, PACKED).groupBy("part").applyInArrow(meet, "a long, b long")
 
@@ -191,6 +193,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text of fewer words than a shingle is one shingle. A null id never is the smallest. Rows that repeat are copies. An
     empty table gives an empty table. Columns named like the results are replaced."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.drop("class_id", "n_links", "n_copies")
     text = F.coalesce(F.col(text_col), F.lit(""))
     sets = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
@@ -202,7 +205,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = spark.sparkContext.broadcast(cell_filter(sized, "id"))
 
     def content(batches):
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             offsets, raw = buffers(batch.column(1))
@@ -211,14 +214,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 words, first = word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 h, counts = shingle_hashes(words, first)
                 stop = np.cumsum(counts)
-                out = []
-                for i in np.flatnonzero(keep[lo:hi] & (counts > 0)):
-                    if (name := int(ids[lo + i])) not in seen:
-                        seen.add(name)
-                        out.append((name, np.unique(h[stop[i] - counts[i] : stop[i]]).tobytes()))
-                if len(seen) > 8 * FLUSH:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["id", "data"])
+                at = np.flatnonzero(keep[lo:hi] & (counts > 0))
+                at = at[seen.new(ids[lo + at])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + at]), pa.array([np.unique(h[stop[i] - counts[i] : stop[i]]).tobytes() for i in at], pa.binary())], names=["id", "data"])
 
     members = sets.mapInArrow(content, "id long, data binary").join(sized, "id").groupBy("root", "members", "id", "weight").agg(F.first("data").alias("data"))
     links, _ = materialize(exact_links(members, comparison_rows(sized), lambda column: [np.frombuffer(x.as_buffer(), "u8") for x in column], similarity), "jaccard-links")
@@ -228,9 +226,23 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = groups.join(classes.join(counts, "id").withColumnRenamed("id", "__set"), "__set", "left")
     found = found.select("__set", "n_copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    joined = narrow.join(found, "__set")
+    joined = join_groups(narrow.drop("n_copies"), found, "__set", "n_copies", F.xxhash64(F.col(id_col).cast("string"), F.col("__set")))
     return joined.withColumn("class_id", F.when(F.col("__words"), F.col("class_id")).otherwise(F.col(id_col))).withColumn("n_links", F.when(F.col("__words"), F.col("n_links")).otherwise(0).cast("long")).drop("__set", "__words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return similarity_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k + 1, k + 5), ' ') AS s FROM d, unnest(range(0, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) t(k)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(id, class_id) USING KEY (id) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.y, min(c.class_id) FROM c JOIN u ON u.x = c.id JOIN recurring.c r ON r.id = u.y GROUP BY u.y HAVING min(c.class_id) < min(r.class_id)),
+k AS (SELECT x, count(*) AS n FROM u GROUP BY 1)
+SELECT d.doc_id, c.class_id, coalesce(k.n, 0)::BIGINT AS n_links, count(*) OVER (PARTITION BY coalesce(d.text, '')) AS n_copies
+FROM d JOIN c ON c.id = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
 }
