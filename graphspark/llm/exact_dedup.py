@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphspark.llm.common import join_groups
+
 #: Cells of the tables that the first two levels broadcast: their size has this bound whatever the input is.
 LENGTH_CELLS = 1 << 16
 PREFIX_CELLS = 1 << 20
@@ -21,8 +23,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells, so what is broadcast is bounded; two groups that meet in one cell only cost work in the next level. The
     full content is hashed for survivors alone; what doesn't survive is a group of one.
 
-    No text is shuffled. A large group is counted by partial aggregates, and its rows meet their group's one row in a
-    join that may be split when it is skewed.
+    No text is shuffled. A large group is counted by partial aggregates; the largest groups' results are broadcast, a
+    fixed number of rows, so that no key of the last join is hot.
     Edge cases: rows that repeat with the same id and text are copies of one document, each counted in group_size and
     marked kept as that document is. A null id never wins over another; groups of null ids only have keep_id null and
     are kept. An empty table gives an empty table. Columns named like the results are replaced.
@@ -46,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     third = third.withColumn("__key", F.when(F.col("__p_crowded"), F.concat(F.hex(length), F.lit(":"), F.sha2(text.cast("binary"), 256))).otherwise(alone)).withColumn("__found", F.coalesce("__p_crowded", F.lit(False)))
     narrow = third.drop(text_col, "__l", "__p", "__l_crowded", "__p_crowded")
     groups = narrow.where("__found").groupBy("__key").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").withColumn("__grouped", F.lit(True))
-    joined = narrow.join(groups, "__key", "left")
+    spread = F.concat(F.lit("="), F.hex(F.xxhash64(F.col(id_col).cast("string"), F.col("__key"))))
+    joined = join_groups(narrow, groups, "__key", "group_size", spread)
     keep = F.when(F.col("__grouped"), F.col("keep_id")).otherwise(F.col(id_col))
     return joined.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long")).withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).drop("__key", "__found", "__grouped")
 
