@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import new_path
+from graphspark.llm.common import bound_batches, join_groups, new_path
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 REVISIT_BYTES = 100
@@ -41,14 +41,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Of equal payloads of at least REVISIT_BYTES bytes the one with the smallest id is the response. Null payloads are
     empty; a null id is written as null and never is the smallest; line breaks in addresses are escaped. Payloads are
-    shuffled once, by their digest, and a payload that many pages share is split by the skewed join. Spark's text
+    shuffled once, by their digest; those that most pages share are resolved by a broadcast of a fixed number of rows. Spark's text
     writer ends each record with the two line breaks that the format asks for, so any file system can be written to.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(url_col, "\r", "%0D"), "\n", "%0A").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("url", "id").alias("first_url")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
+    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("url", "id").alias("first_url")).where("n > 1")
+    rows = join_groups(rows, first, "digest", "n", F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.col("digest")).cast("binary"), 256)).drop("n")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("id")), F.lit(False))
     own = record_id("capture", F.col("id"), F.col("digest"))
     length = F.octet_length("payload").cast("string")
@@ -98,6 +98,7 @@ def parse(raw: bytes):
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row per record. Files are read whole, a task's files one after the other; they are as large as write_warc
     leaves them. Without payload its bytes are digested and dropped."""
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def run(batches):
