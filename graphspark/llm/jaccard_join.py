@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import PACKED, Seen, bound_batches, buffers, cell_filter, chunks, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_hashes
+from graphspark.llm.common import PACKED, Seen, bound_batches, buffers, cell_filter, chunks, forget, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_hashes
 from graphspark.llm.components import comparison_rows, connected_components, exact_links, with_sizes
 
 SHINGLE = 5
@@ -121,16 +121,41 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def candidate_edges(sets: DataFrame, n: int) -> DataFrame:
-    """a, b of pairs that may be similar. sets: id, text; n: how many ids there are. A text that a task has met before is sent
-    once, so many copies of one text cost no more than the tasks that hold them."""
+def sketch_table(sets: DataFrame) -> DataFrame:
+    """id, data: the minima of the first RUNS tokens and the sketch of each different set with words. A text that a task has met
+    before is passed on once, and what several tasks pass on meets by id."""
+
+    def run(batches):
+        seen = Seen()
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            names, data = [], []
+            for lo, some, minima in sketches(batch.column(1)):
+                at = np.flatnonzero(seen.new(ids[lo + some]))
+                names.append(ids[lo + some[at]])
+                data += map(bytes, np.concatenate([np.ascontiguousarray(minima[at, :RUNS]).view(np.uint8), to_bytes(minima[at])], 1))
+            if data:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(data, pa.binary())], names=["id", "data"])
+        release_memory()
+
+    return sets.mapInArrow(run, "id long, data binary").groupBy("id").agg(F.first("data").alias("data"))
+
+
+def read_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, minima of the first RUNS tokens, and sketches of rows that sketch_table() made."""
+    raw = buffers(batch.column(1))[1].reshape(batch.num_rows, 4 * RUNS + TOKENS)
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.ascontiguousarray(raw[:, : 4 * RUNS]).view(np.uint32), raw[:, 4 * RUNS :]
+
+
+def candidate_edges(sketched: DataFrame, n: int) -> DataFrame:
+    """a, b of pairs that may be similar. sketched: as sketch_table() gives it, each set once, so that copies neither are sent nor
+    make a bucket large; n: how many sets there are."""
     parts = max(8, n * RUNS // GROUP_SETS)
 
     def count(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, _, minima in sketches(batch.column(1)):
-                total += np.bincount(to_part(first_keys(minima).ravel(), CELLS), minlength=CELLS)
+            total += np.bincount(to_part(first_keys(read_sketches(batch)[1]).ravel(), CELLS), minlength=CELLS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
 
@@ -138,7 +163,7 @@ def candidate_edges(sets: DataFrame, n: int) -> DataFrame:
     size = np.zeros(CELLS, np.int64)
     if n > HOT:
         average = n * RUNS // CELLS
-        for r in sets.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > HOT + average).collect():
+        for r in sketched.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > HOT + average).collect():
             size[r["cell"]] = r["n"]
     salts = np.maximum(1, -(-size // HOT))
 
@@ -151,31 +176,23 @@ def candidate_edges(sets: DataFrame, n: int) -> DataFrame:
             for lo in range(0, len(out), 256):
                 yield packed_batch(out[lo : lo + 256])
 
-        seen = Seen()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, some, minima in sketches(batch.column(1)):
-                mine = ids[lo + some]
-                at = np.flatnonzero(seen.new(mine))
-                mine = mine[at]
-                if not len(mine):
-                    continue
-                minima = minima[at]
-                keys = first_keys(minima)
-                # Each run deals a large bucket in another way: what similar sets it parts meets in the others.
-                salt = mix(mine.astype(np.uint64)[:, None] * np.uint64(31) + np.arange(RUNS, dtype=np.uint64)) % salts[to_part(keys.ravel(), CELLS)].reshape(keys.shape).astype(np.uint64)
-                spread = salt > 0
-                keys[spread] = mix(keys[spread] + salt[spread])
-                gathered.append((keys.ravel(), np.repeat(mine, RUNS), np.repeat(to_bytes(minima), RUNS, axis=0)))
-                waiting += len(mine)
-                if waiting >= FLUSH:
-                    yield from flush()
-                    gathered, waiting = [], 0
+            mine, minima, sketch = read_sketches(batch)
+            keys = first_keys(minima)
+            # Each run deals a large bucket in another way: what similar sets it parts meets in the others.
+            salt = mix(mine.astype(np.uint64)[:, None] * np.uint64(31) + np.arange(RUNS, dtype=np.uint64)) % salts[to_part(keys.ravel(), CELLS)].reshape(keys.shape).astype(np.uint64)
+            spread = salt > 0
+            keys[spread] = mix(keys[spread] + salt[spread])
+            gathered.append((keys.ravel(), np.repeat(mine, RUNS), np.repeat(sketch, RUNS, axis=0)))
+            waiting += len(mine)
+            if waiting >= FLUSH:
+                yield from flush()
+                gathered, waiting = [], 0
         if waiting:
             yield from flush()
         release_memory()
 
-    return sets.mapInArrow(send, PACKED).groupBy("part").applyInArrow(meet, "a long, b long")
+    return sketched.mapInArrow(send, PACKED).groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -199,8 +216,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     narrow = docs.withColumn("__set", F.xxhash64(text)).withColumn("__words", text.rlike(r"[^\x20\x09-\x0D]")).drop(text_col)
     groups, _ = materialize(narrow.groupBy("__set").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("__words").alias("__words")), "jaccard-sets")
-    edges = candidate_edges(sets, groups.count())
+    sketched, sketch_path = materialize(sketch_table(sets), "jaccard-sketches")
+    edges = candidate_edges(sketched, groups.count())
     sized, _ = materialize(with_sizes(connected_components(edges, "a", "b")), "jaccard-candidates")
+    forget(spark, sketch_path)
     sized = sized.join(groups.select(F.col("__set").alias("id"), F.col("n_copies").alias("weight")), "id")
     wanted = spark.sparkContext.broadcast(cell_filter(sized, "id"))
 

@@ -96,6 +96,28 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch):
     assert tuple(got) == (1, 699, 699)
 
 
+def altered(r, words, name, n=2):
+    w = list(words)
+    for k in r.sample(range(5, len(w) - 5), n):
+        w[k] = name
+    return " ".join(w)
+
+
+def test_jaccard_copies_are_one_set(spark, monkeypatch):
+    """Two near copies of each text that has more than HOT copies, among more than HOT different sets."""
+    monkeypatch.setattr(jaccard_join, "HOT", 50)
+    r = random.Random(8)
+    base = [prose(r, 120) for _ in range(4)]
+    near = [[altered(r, t.split(), f"n{k}") for k in range(2)] for t in base]
+    texts = [*base * 2500, *[prose(r, 40) for _ in range(100)]]
+    rows = [(i, t, "", "") for i, t in enumerate(texts)] + [(20000 + 10 * g + k, t, "", "") for g in range(4) for k, t in enumerate(near[g])]
+    found = by_id(jaccard_join.similarity_classes(spark.createDataFrame(rows, DOC).repartition(4)))
+    for g in range(4):
+        links, _ = B.classes([B.word_shingles(t) for t in (base[g], *near[g])])
+        assert links[0] == 2 and found[g]["n_links"] == 2499 + 2
+        assert [(found[20000 + 10 * g + k]["class_id"], found[20000 + 10 * g + k]["n_links"]) for k in range(2)] == [(g, 2499 + n) for n in links[1:]]
+
+
 def test_line_dedup(docs, rows, empty):
     found = by_id(line_dedup.dedup_lines(docs))
     assert {i: r["text"] for i, r in found.items()} == B.kept_lines([(i, t) for i, t, *_ in rows])
