@@ -24,8 +24,12 @@ BRUTE = 256
 #: A larger bucket is compared at once too if so many of its sets are similar to one of them: it is one component, or nearly.
 DENSE = 0.9
 MAX_DEPTH = 8
-#: A bucket with more is dealt by a hash into several, in each run in another way.
+#: A bucket with more is split on further tokens of its path before it is sent.
 HOT = 20_000
+#: Tokens by which paths are extended so at most; SHARE of a bucket's sets in one part of it says that its sets are so similar
+#: that more tokens wouldn't split it. Such a bucket is dealt into blocks, and each two of them meet.
+MAX_EXTENSIONS = 8
+SHARE = 0.75
 #: Cells in which the buckets' sizes are counted; this bounds what is sent to the executors.
 CELLS = 1 << 14
 #: Sets of a group: what a task compares at once.
@@ -74,12 +78,13 @@ def split(sketch: np.ndarray, at: np.ndarray, path: int, depth: int, out: list)
     if len(at) < 2:
         return
     if len(at) > BRUTE and depth < MAX_DEPTH and linked(sketch[at], sketch[at[0]]).mean() < DENSE:
-        token = int(mix(np.array([path], np.uint64))[0] % np.uint64(TOKENS - RUNS)) + RUNS
-        values = sketch[at, token]
-        parts = [at[values == v] for v in np.unique(values)]
-        if max(map(len, parts)) < len(at):
-            for v, part in zip(np.unique(values), parts):
-                split(sketch, part, (path * 1000003 + token * 257 + int(v) + 1) & ((1 << 63) - 1), depth + 1, out)
+        first = int(mix(np.array([path], np.uint64))[0] % np.uint64(TOKENS - RUNS))
+        for token in (RUNS + (first + k) % (TOKENS - RUNS) for k in range(TOKENS - RUNS)):
+            values = sketch[at, token]
+            if (values == values[0]).all():  # of the path already, or of a passage that all share
+                continue
+            for v in np.unique(values):
+                split(sketch, at[values == v], (path * 1000003 + token * 257 + int(v) + 1) & ((1 << 63) - 1), depth + 1, out)
             return
     # Brute force around pivots: what a pivot is linked with is one component already, so only its pairs with the others are compared.
     rest = at
@@ -147,10 +152,32 @@ def read_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.ascontiguousarray(raw[:, : 4 * RUNS]).view(np.uint32), raw[:, 4 * RUNS :]
 
 
-def candidate_edges(sketched: DataFrame, n: int) -> DataFrame:
-    """a, b of pairs that may be similar. sketched: as sketch_table() gives it, each set once, so that copies neither are sent nor
-    make a bucket large; n: how many sets there are."""
-    parts = max(8, n * RUNS // GROUP_SETS)
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the keys are some of these, which are sorted."""
+    if not len(some):
+        return np.zeros(keys.shape, bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+def path_keys(minima: np.ndarray, sketch: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, RUNS): the bucket of each run's path, and the bucket that it was a part of before the last extension. levels: the
+    buckets (sorted) that are split on a further token, those of the first tokens first. The first token chooses the others."""
+    keys = first_keys(minima)
+    start, parents = keys % np.uint64(TOKENS - RUNS), np.zeros_like(keys)
+    for depth, wide in enumerate(levels):
+        row, run = np.nonzero(among(keys, wide))
+        token = RUNS + (start[row, run].astype(np.int64) + 11 * depth) % (TOKENS - RUNS)  # 11 and 48 have no common factor: no token twice
+        parents[:] = 0
+        parents[row, run] = keys[row, run]
+        keys[row, run] = mix(keys[row, run] * np.uint64(1000003) + sketch[row, token] + np.uint64(1))
+    return keys, parents
+
+
+def wide_buckets(sketched: DataFrame, n: int) -> tuple[list[np.ndarray], dict[int, int]]:
+    """Buckets of more than HOT sets: those to be split on a further token, by the length of their paths, and those that further
+    tokens don't split, with their sizes. Of both there are RUNS * n / HOT at most, at each length."""
+    if n <= HOT:  # a bucket can only hold more than HOT sets if there are as many
+        return [], {}
 
     def count(batches):
         total = np.zeros(CELLS, np.int64)
@@ -159,13 +186,42 @@ def candidate_edges(sketched: DataFrame, n: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
 
-    # A bucket can only hold more than HOT sets if there are as many.
-    size = np.zeros(CELLS, np.int64)
-    if n > HOT:
-        average = n * RUNS // CELLS
-        for r in sketched.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > HOT + average).collect():
-            size[r["cell"]] = r["n"]
-    salts = np.maximum(1, -(-size // HOT))
+    average = n * RUNS // CELLS
+    cells = np.zeros(CELLS, bool)
+    cells[[r["cell"] for r in sketched.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > HOT + average).collect()]] = True
+    if not cells.any():
+        return [], {}
+
+    def sizes(levels: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        def run(batches):
+            for batch in batches:
+                _, minima, sketch = read_sketches(batch)
+                keys, parents = path_keys(minima, sketch, levels)
+                at = parents > 0 if levels else cells[to_part(keys.ravel(), CELLS)].reshape(keys.shape)
+                key, first, times = np.unique(keys[at], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (parents[at][first].view(np.int64), key.view(np.int64), times)], names=["parent", "key", "n"])
+
+        found = sketched.mapInArrow(run, "parent long, key long, n long").groupBy("parent", "key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).collect()
+        return [(r["parent"] & (2**64 - 1), r["key"] & (2**64 - 1), r["n"]) for r in found]
+
+    levels, dense = [], {}
+    wide = {key: size for _, key, size in sizes(levels)}
+    while wide and len(levels) < MAX_EXTENSIONS:
+        below = sizes([*levels, np.array(sorted(wide), np.uint64)])
+        whole = {parent for parent, _, size in below if size > SHARE * wide[parent]}
+        dense |= {key: wide[key] for key in whole}
+        levels.append(np.array(sorted(wide.keys() - whole), np.uint64))
+        wide = {key: size for parent, key, size in below if parent not in whole}
+    return levels, dense | wide
+
+
+def candidate_edges(sketched: DataFrame, n: int) -> DataFrame:
+    """a, b of pairs that may be similar. sketched: as sketch_table() gives it, each set once, so that copies neither are sent nor
+    make a bucket large; n: how many sets there are."""
+    levels, dense = wide_buckets(sketched, n)
+    blocked = np.array(sorted(dense), np.uint64)
+    blocks = np.array([max(2, -(-2 * dense[int(k)] // HOT)) for k in blocked], np.int64)
+    parts = max(8, (n * RUNS + sum(dense[int(k)] * (int(b) - 2) for k, b in zip(blocked, blocks))) // GROUP_SETS)
 
     def send(batches):
         gathered, waiting = [], 0
@@ -178,14 +234,21 @@ def candidate_edges(sketched: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             mine, minima, sketch = read_sketches(batch)
-            keys = first_keys(minima)
-            # Each run deals a large bucket in another way: what similar sets it parts meets in the others.
-            salt = mix(mine.astype(np.uint64)[:, None] * np.uint64(31) + np.arange(RUNS, dtype=np.uint64)) % salts[to_part(keys.ravel(), CELLS)].reshape(keys.shape).astype(np.uint64)
-            spread = salt > 0
-            keys[spread] = mix(keys[spread] + salt[spread])
-            gathered.append((keys.ravel(), np.repeat(mine, RUNS), np.repeat(sketch, RUNS, axis=0)))
-            waiting += len(mine)
-            if waiting >= FLUSH:
+            key, at = path_keys(minima, sketch, levels)[0].ravel(), np.repeat(np.arange(len(mine)), RUNS)
+            some = among(key, blocked)
+            if some.any():
+                # A set is in one block of its bucket and goes wherever that block meets another.
+                k, who = key[some], at[some]
+                of = blocks[np.searchsorted(blocked, k)]
+                own = (mix(mine[who].astype(np.uint64) + np.uint64(17)) % of.astype(np.uint64)).astype(np.int64)
+                k, who, own = (np.repeat(c, of - 1) for c in (k, who, own))
+                other = np.arange(len(k)) - np.repeat(np.cumsum(of - 1) - (of - 1), of - 1)
+                other += other >= own
+                pair = np.minimum(own, other).astype(np.uint64) << np.uint64(32) | np.maximum(own, other).astype(np.uint64)
+                key, at = np.concatenate([key[~some], mix(k ^ mix(pair))]), np.concatenate([at[~some], who])
+            gathered.append((key, mine[at], sketch[at]))
+            waiting += len(key)
+            if waiting >= FLUSH * RUNS:
                 yield from flush()
                 gathered, waiting = [], 0
         if waiting:
@@ -204,7 +267,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Equal texts are one set, named by a 64-bit hash of the text. 2. In each of RUNS runs the sets are put in buckets
     by a token of their own (a minimum of hashes); a bucket is split on further tokens until it is small, then its sets
-    are compared by sketches. 3. Components of the links found so are candidates: their sets are compared exactly, each
+    are compared by sketches. Buckets too large for a task are split so before they are sent; what tokens don't split is
+    sent in blocks, each two of which meet. 3. Components of the links found so are candidates: their sets are compared exactly, each
     pair once. 4. Components of the exact links are the classes.
     Edge cases: texts without words have no links and are classes of their own, copies of each other as they may be. A
     text of fewer words than a shingle is one shingle. A null id never is the smallest. Rows that repeat are copies. An

@@ -118,6 +118,24 @@ def test_jaccard_copies_are_one_set(spark, monkeypatch):
         assert [(found[20000 + 10 * g + k]["class_id"], found[20000 + 10 * g + k]["n_links"]) for k in range(2)] == [(g, 2499 + n) for n in links[1:]]
 
 
+def test_jaccard_wide_buckets(spark, monkeypatch):
+    """Pairs among many texts that share half of their words, and pairs within one large group of near copies."""
+    monkeypatch.setattr(jaccard_join, "HOT", 40)
+    r = random.Random(9)
+    passage = prose(r, 107)
+    # The last two texts and their pairs have no first token in common but those of the passage.
+    texts = [f"{passage} {' '.join(f'u{i}x{k}' for k in range(93))}" for i in [*range(1198), 2732, 8472]]
+    pairs = [" ".join("changed" if k in (115, 135, 155, 175) else w for k, w in enumerate(t.split())) for t in texts]
+    base = prose(r, 120).split()
+    group = [altered(r, base, f"g{k}", 1) for k in range(400)]
+    outer = altered(r, group[0].split(), "outer", 1)
+    found = by_id(jaccard_join.similarity_classes(spark.createDataFrame([(i, t, "", "") for i, t in enumerate([*texts, *pairs, *group, outer])], DOC).repartition(4)))
+    assert B.classes([B.word_shingles(t) for t in (texts[0], pairs[0], texts[1])])[0] == [1, 1, 0]
+    assert [i for i in range(1200) if found[1200 + i]["class_id"] != i or found[i]["n_links"] != 1] == []
+    links, _ = B.classes([B.word_shingles(t) for t in [*group, outer]])
+    assert [found[2400 + k]["n_links"] for k in range(401)] == links and {found[2400 + k]["class_id"] for k in range(401)} == {2400}
+
+
 def test_line_dedup(docs, rows, empty):
     found = by_id(line_dedup.dedup_lines(docs))
     assert {i: r["text"] for i, r in found.items()} == B.kept_lines([(i, t) for i, t, *_ in rows])
