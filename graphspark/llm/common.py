@@ -82,16 +82,16 @@ def held_out(id_col: str):
 HOT_GROUPS = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread, dealt: str | None = None) -> DataFrame:
     """rows with the columns of their group, null where there is none; groups has one row for each key.
 
     The HOT_GROUPS largest groups are broadcast, and their rows then go to the other join under `spread`, a value of the
-    key's type that differs from row to row; so no key of that join has more than one in HOT_GROUPS of the rows."""
+    key's type that differs from row to row; so no key of that join has more than one in HOT_GROUPS of the rows. dealt: a column that keeps what they were dealt by."""
     columns = [c for c in groups.columns if c != key]
     hot = groups.orderBy(F.desc(size), key).limit(HOT_GROUPS).select(key, *[F.col(c).alias(f"__hot_{c}") for c in columns], F.lit(True).alias("__hot"))
     marked = rows.join(F.broadcast(hot), key, "left").withColumn("__join", F.when(F.col("__hot"), spread).otherwise(F.col(key)))
     joined = marked.join(groups.withColumnRenamed(key, "__join"), "__join", "left")
-    return joined.withColumns({c: F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)) for c in columns}).drop("__join", "__hot", *[f"__hot_{c}" for c in columns])
+    return joined.withColumns({c: F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)) for c in columns}).withColumnsRenamed({"__join": dealt} if dealt else {}).drop("__join", "__hot", *[f"__hot_{c}" for c in columns])
 
 
 # --- Arrow buffers -------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import gzip
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,30 +40,33 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     stream a file.
 
     Of equal payloads of at least REVISIT_BYTES bytes the one with the smallest id is the response. Null payloads are
-    empty; a null id is written as null and never is the smallest; line breaks in addresses are escaped. Payloads are
+    empty; a null id is written as null and never is the smallest; rows that repeat an id and
+    a payload are numbered, so each has records of its own; line breaks in addresses are escaped. Payloads are
     shuffled once, by their digest; those that most pages share are resolved by a broadcast of a fixed number of rows. Spark's text
     writer ends each record with the two line breaks that the format asks for, so any file system can be written to.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(url_col, "\r", "%0D"), "\n", "%0A").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("url", "id").alias("first_url")).where("n > 1")
-    rows = join_groups(rows, first, "digest", "n", F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.col("digest")).cast("binary"), 256)).drop("n")
+    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("url", F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first_url")).where("n > 1")
+    rows = join_groups(rows, first, "digest", "n", F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.col("digest")).cast("binary"), 256), "dealt").drop("n")
+    # Rows that repeat an id and a payload were dealt to one task by the join, so numbering them moves nothing.
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("dealt", "id", "digest").orderBy("url"))).drop("dealt")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("id")), F.lit(False))
-    own = record_id("capture", F.col("id"), F.col("digest"))
+    own = record_id("capture", F.col("id"), F.col("digest"), F.col("nth"))
     length = F.octet_length("payload").cast("string")
     digest = F.concat(F.lit("sha256:"), "digest")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length, F.lit("\r\n\r\n"))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url"))]
     response = record([("WARC-Type", F.lit("response")), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(head, "payload"))
     again = record(
-        [("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("capture", F.col("first_id"), F.col("digest"))),
+        [("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("capture", F.col("first_id"), F.col("digest"), F.lit(1))),
          ("WARC-Refers-To-Target-URI", F.col("first_url")), ("Content-Type", F.lit("application/http; msgtype=response"))], head)
     host, target = F.regexp_extract("url", r"^\w+://([^/?#]*)", 1), F.regexp_extract("url", r"^\w+://[^/?#]*([^#]*)", 1)
     asked = F.concat(F.lit("GET "), F.coalesce(F.when(target != "", target), F.lit("/")), F.lit(" HTTP/1.1\r\nHost: "), F.coalesce(host, F.lit("")), F.lit("\r\n\r\n"))
-    request = record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], asked)
+    request = record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("id"), F.col("digest"), F.col("nth"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], asked)
     notes = F.concat(F.lit("capture-id: "), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("\r\n"))
-    metadata = record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))], notes)
+    metadata = record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"), F.col("digest"), F.col("nth"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))], notes)
     lines = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
     lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).option("compression", "gzip").text(path)
 

@@ -244,6 +244,17 @@ def test_warc(spark, tmp_path):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort"))
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    html = "<html>" + "x" * 120
+    rows = [(1, "u", html), (1, "u", html), (1, "v", html), (2, "w", html), (None, "n", html), (None, "n", html), (None, None, ""), (None, None, None), (3, "s", "short"), (3, "s", "short")]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.resolve(warc.assemble(warc.read_warc(spark, path))).collect()
+    kinds = collections.Counter((r["page"], r["response"]["target_uri"], r["response"]["record_type"], r["origin"]["page"]) for r in got)
+    assert kinds == {("1", "u", "response", "1"): 2, ("1", "v", "response", "1"): 1, ("2", "w", "revisit", "1"): 1, (None, "n", "revisit", "1"): 2, (None, None, "response", None): 2, ("3", "s", "response", "3"): 2}
+    assert len({r["capture_id"] for r in got}) == len(rows) and all(r["request"] and r["metadata"] for r in got)
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
