@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import PACKED, bound_batches, buffers, chunks, mix, packed_batch, split_by, text_bytes, to_part, window_hashes, word_hashes, word_spans
+from graphspark.llm.common import PACKED, bound_batches, buffers, chunks, mix, pack_arrays, packed_batch, range_hashes, split_by, text_bytes, to_part, window_hashes, word_hashes, word_spans
 
 WINDOW = 20
 #: Words of a short prefix; the suffixes of a prefix that is too frequent are split by their first WINDOW words.
@@ -25,12 +25,14 @@ FLUSH = 1 << 20
 FLUSH_TEXT = 32 << 20
 #: Bytes of text of a bucket of documents, in which words are removed at once.
 BUCKET_BYTES = 16 << 20
+#: Of the second hash of a path; 64 and 32 bits together are taken for the words.
+CHECK_BASE = 0x2545F4914F6CDD1D
 NO_ID = np.iinfo(np.int64).max
 
 
 def suffixes(column: pa.Array, ids: np.ndarray, window: int):
     """For pieces of a batch: hashes of the first PREFIX and of the first `window` words of every suffix that is long
-    enough, with its document and place."""
+    enough, a second hash of the latter in 32 bits, and its document and place."""
     offsets, raw = buffers(column)
     for lo, hi in chunks(offsets):
         words, first = word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -39,7 +41,8 @@ def suffixes(column: pa.Array, ids: np.ndarray, window: int):
             continue
         start = first[:-1][row] + place
         prefix = mix(words[start] + np.uint64(3) * words[start + 1] + np.uint64(5) * words[start + 2] + np.uint64(7) * words[start + 3]) if window >= PREFIX else path
-        yield prefix, path, ids[lo:hi][row], place.astype(np.int32)
+        check = (range_hashes(words, start, start + window, CHECK_BASE) >> np.uint64(32)).astype(np.uint32)
+        yield prefix, path, check, ids[lo:hi][row], place.astype(np.int32)
 
 
 def id_array(column: pa.Array) -> np.ndarray:
@@ -128,20 +131,21 @@ def partition_prefixes(counts: dict[int, int], size: int) -> tuple[np.ndarray, n
     return first, number, max(1, groups)
 
 
-def mark_rows(path: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tree's nodes at the window's depth are runs of equal paths in the sorted suffixes. Returns the order of suffixes by
+def mark_rows(path: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree's nodes at the window's depth are runs of equal paths, by both hashes, in the sorted suffixes. Returns the order of suffixes by
     path, where in it a node's first leaf (smallest document, then place) stands, and where its later leaves stand."""
     order = np.argsort(path)
     sorted_path = path[order]
     same = np.zeros(len(order), bool)
     if len(order):
         same[1:] = sorted_path[1:] == sorted_path[:-1]
-    internal = same.copy()
+    internal = same.copy()  # equal in the first hash
     internal[:-1] |= same[1:]
     inside = np.flatnonzero(internal)
     fix = order[inside]
-    fix = fix[np.lexsort((place[fix], doc[fix], path[fix]))]
+    fix = fix[np.lexsort((place[fix], doc[fix], check[fix], path[fix]))]
     order[inside] = fix
+    same[1:] &= check[order[1:]] == check[order[:-1]]
     leads = np.flatnonzero(~same)
     later = np.flatnonzero(same)
     # A leaf at the very place of its node's first one (a row that repeats) isn't later than it.
@@ -165,7 +169,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
     """Rows (part, data): for the documents of a bucket the places of windows whose words also start earlier.
 
     1. Prefixes are counted in CELLS cells and dealt into groups that fit a task's memory: the variable-length
-       prefixes. 2. Every suffix is sent to its prefix's group, as the hash of its path to the window's depth with its
+       prefixes. 2. Every suffix is sent to its prefix's group, as the hashes of its path to the window's depth with its
        document and place. Suffixes that meet in the sending task already are compared there, and only the first of
        them is sent, so a passage that every document holds is sent once by a task. 3. A group's sorted suffixes are
        its tree; the internal nodes at the window's depth are the repeats, and all their leaves but the first are marked."""
@@ -174,7 +178,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
     def count(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for prefix, _, _, _ in suffixes(batch.column(1), id_array(batch.column(0)), window):
+            for prefix, *_ in suffixes(batch.column(1), id_array(batch.column(0)), window):
                 total += np.bincount(to_part(prefix, CELLS), minlength=CELLS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
@@ -191,15 +195,15 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
         gathered, n = [], 0
 
         def flush():
-            prefix, path, doc, place = (np.concatenate(c) for c in zip(*gathered))
-            order, leads, later = mark_rows(path, doc, place)
+            prefix, path, check, doc, place = (np.concatenate(c) for c in zip(*gathered))
+            order, leads, later = mark_rows(path, check, doc, place)
             lead = np.sort(order[leads])
-            prefix, sent = prefix[lead], path[lead]
+            prefix, sent, check = prefix[lead], path[lead], check[lead]
             cell = to_part(prefix, CELLS)
             part = first[cell] + to_part(sent, 1 << 20).astype(np.int64) * number[cell] // (1 << 20)
             gone = np.sort(order[later])
             out = list(marks(doc[gone], place[gone]))
-            out += [(g, np.int64(len(a)).tobytes() + a.tobytes() + squeeze(b, c)) for g, a, b, c in split_by(part.astype(np.int32), sent, doc[lead], place[lead])]
+            out += [(g, np.int64(len(a)).tobytes() + pack_arrays(a, k) + squeeze(b, c)) for g, a, k, b, c in split_by(part.astype(np.int32), sent, check, doc[lead], place[lead])]
             for lo in range(0, len(out), 256):
                 yield packed_batch(out[lo : lo + 256])
 
@@ -220,8 +224,9 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, buckets: int,
         blobs = [memoryview(b.as_buffer()) for b in table["data"]]
         sizes = [int(np.frombuffer(b, "<i8", 1)[0]) for b in blobs]
         path = np.concatenate([np.frombuffer(b, "<u8", n, 8) for b, n in zip(blobs, sizes)])
-        doc, place = unsqueeze(b[8 + 8 * n :] for b, n in zip(blobs, sizes))
-        order, _, later = mark_rows(path, doc, place)
+        check = np.concatenate([np.frombuffer(b, "<u4", n, 8 + 8 * n) for b, n in zip(blobs, sizes)])
+        doc, place = unsqueeze(b[8 + 12 * n :] for b, n in zip(blobs, sizes))
+        order, _, later = mark_rows(path, check, doc, place)
         found = order[later]
         found = found[np.lexsort((place[found], doc[found]))]
         out = [(b - marks_from, data) for b, data in marks(doc[found], place[found])]
@@ -257,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed, kept_text of every row: its words without those covered by a window of `window`
     consecutive words that also starts earlier (in a document with a smaller id, or earlier in the same one).
 
-    Paths are compared by 64-bit hashes. Texts are shuffled once, to meet the marks of their bucket of documents.
+    Paths are compared by two independent hashes, of 96 bits together. Texts are shuffled once, to meet the marks of their bucket of documents.
     Edge cases: a null text has no words. Null ids sort last and count as one document, and so do rows that repeat an
     id: a window at the same place of the same id isn't earlier than itself, and a place marked in one of these rows is
     marked in all. An empty table gives an empty table."""

@@ -73,6 +73,17 @@ def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
     assert [x.tolist() for x in substring_dedup.expand(substring_dedup.squeeze(doc, place))] == [doc.tolist(), place.tolist()]
 
 
+def test_windows_of_one_hash():
+    """Different windows with one 64-bit hash differ in the second one."""
+    path, check = np.array([7, 9, 7, 7, 7], np.uint64), np.array([1, 1, 2, 1, 2], np.uint32)
+    doc, place = np.array([5, 6, 4, 3, 8], np.int64), np.zeros(5, np.int32)
+    order, leads, later = substring_dedup.mark_rows(path, check, doc, place)
+    assert sorted(order[leads].tolist()) == [1, 2, 3] and sorted(order[later].tolist()) == [0, 4]
+    column = common.pa.array([" ".join(f"w{k}" for k in range(30))] * 2)
+    _, path, check, doc, _ = (np.concatenate(c) for c in zip(*substring_dedup.suffixes(column, np.array([1, 2]), 20)))
+    assert len(set(check.tolist())) == 11 and (check[doc == 1] == check[doc == 2]).all() and (check != (path >> np.uint64(32))).all()
+
+
 def test_prefix_groups():
     first, number, groups = substring_dedup.partition_prefixes({0: 10, 1: 250, 2: 90, 3: 95}, 100)
     assert number[1] == 3 and groups == 5 and first[0] in (first[2], first[3])
