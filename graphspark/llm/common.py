@@ -78,6 +78,11 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def spread_id(id_col: str, text_col: str):
+    """The id as a number; null ids come after the others and are spread by a hash of their text, so that they don't meet in one place."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 62)))
+
+
 #: Groups that join_groups broadcasts: the largest ones, and never more.
 HOT_GROUPS = 1000
 
@@ -179,6 +184,38 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_pieces(raw: np.ndarray, offsets: np.ndarray, overlap: int, limit: int = CHUNK_BYTES):
+    """Rows in pieces of about limit bytes: first row, bytes, offsets, and how many words of the row come before.
+
+    A longer row is cut between words into pieces of its own, each of which begins with the last `overlap` words of the
+    one before, so that every sequence of overlap + 1 words lies in exactly one piece."""
+    for lo, hi in chunks(offsets, limit):
+        at, end = int(offsets[lo]), int(offsets[hi])
+        if end - at <= 2 * limit:
+            yield lo, raw[at:end], offsets[lo : hi + 1] - at, 0
+            continue
+        while end > at and _SPACE[raw[end - 1]]:
+            end -= 1
+        before = 0
+        while at < end:
+            size = limit
+            while True:
+                stop = min(at + size, end)
+                while stop < end and not _SPACE[raw[stop]]:  # on to the end of a word
+                    gap = np.flatnonzero(_SPACE[raw[stop : stop + 4096]])
+                    stop = min(end, stop + (int(gap[0]) if len(gap) else 4096))
+                starts, _, _ = word_spans(raw[at:stop], np.array([0, stop - at]))
+                if stop == end or len(starts) > overlap:
+                    break
+                size *= 2
+            yield lo, raw[at:stop], np.array([0, stop - at]), before
+            if stop == end:
+                break
+            step = len(starts) - overlap
+            before += step
+            at = at + int(starts[step]) if overlap else stop
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, and the index of each row's first word."""
     starts, ends, first = word_spans(raw, offsets)

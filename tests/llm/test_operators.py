@@ -60,11 +60,15 @@ def test_exact_dedup(docs, rows, empty):
     assert again.count() == 2 * len(rows) and again.where("doc_id is null and not (keep_id is null or keep_id > 0)").isEmpty()
 
 
-def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP_SUFFIXES", 500)
+@pytest.mark.parametrize("size", [500, 1 << 19])
+def test_substring_dedup(spark, docs, rows, empty, monkeypatch, size):
+    monkeypatch.setattr(substring_dedup, "GROUP_SUFFIXES", size)
     want = B.repeats([(i, t) for i, t, *_ in rows], 20)
     found = by_id(substring_dedup.remove_repeats(docs))
     assert {i: (r["n_words"], r["n_removed"], r["kept_text"]) for i, r in found.items()} == want
+    for i, t, *_ in rows:
+        w = [x for p, x in enumerate(B.words(t)) if not any(r["start"] <= p < r["start"] + r["length"] for r in found[i]["repeats"])]
+        assert " ".join(w) == want[i][2] and all(r["length"] >= 20 for r in found[i]["repeats"])
     assert substring_dedup.remove_repeats(empty).count() == 0
     null = spark.createDataFrame([(None, "x " * 30, "", ""), (None, "x " * 30, "", ""), (1, "y " * 30, "", "")], DOC)
     assert {(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(null).collect()} == {(None, 29), (1, 29)}
@@ -73,20 +77,55 @@ def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
     assert [x.tolist() for x in substring_dedup.expand(substring_dedup.squeeze(doc, place))] == [doc.tolist(), place.tolist()]
 
 
-def test_windows_of_one_hash():
-    """Different windows with one 64-bit hash differ in the second one."""
-    path, check = np.array([7, 9, 7, 7, 7], np.uint64), np.array([1, 1, 2, 1, 2], np.uint32)
-    doc, place = np.array([5, 6, 4, 3, 8], np.int64), np.zeros(5, np.int32)
-    order, leads, later = substring_dedup.mark_rows(path, check, doc, place)
-    assert sorted(order[leads].tolist()) == [1, 2, 3] and sorted(order[later].tolist()) == [0, 4]
-    column = common.pa.array([" ".join(f"w{k}" for k in range(30))] * 2)
-    _, path, check, doc, _ = (np.concatenate(c) for c in zip(*substring_dedup.suffixes(column, np.array([1, 2]), 20)))
-    assert len(set(check.tolist())) == 11 and (check[doc == 1] == check[doc == 2]).all() and (check != (path >> np.uint64(32))).all()
+def test_frequent_anchors(spark, monkeypatch):
+    """A phrase in very many different windows is too frequent for one group."""
+    monkeypatch.setattr(substring_dedup, "GROUP_SUFFIXES", 300)
+    r = random.Random(11)
+    rows = [(i, f"{prose(r, 12)} all of these words {prose(r, 12)}", "", "") for i in range(400)]
+    rows += [(1000 + i, rows[i][1], "", "") for i in range(0, 400, 3)]
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    assert len(substring_dedup.frequent_anchors(docs.select("doc_id", "text"), 4096, 20)[1])
+    found = by_id(substring_dedup.remove_repeats(docs))
+    assert {i: (x["n_words"], x["n_removed"], x["kept_text"]) for i, x in found.items()} == B.repeats([(i, t) for i, t, *_ in rows], 20)
 
 
-def test_prefix_groups():
-    first, number, groups = substring_dedup.partition_prefixes({0: 10, 1: 250, 2: 90, 3: 95}, 100)
-    assert number[1] == 3 and groups == 5 and first[0] in (first[2], first[3])
+@pytest.mark.parametrize("seed", range(4))
+def test_leaves_with_colliding_hashes(seed):
+    """Paths and word hashes that say too much: words decide."""
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("abc") * r.randint(1, 2) for _ in range(r.randint(5, 60))) for _ in range(30)]
+    column = common.pa.array(texts)
+    offsets, raw = common.buffers(column)
+    s = substring_dedup.concatenate(list(substring_dedup.suffixes(raw, offsets, np.arange(30), None, 6)))
+    s.path[:] = s.path % np.uint64(5)
+    if seed % 2:
+        s.words[:] = s.words % np.uint64(3)
+    lead, later = substring_dedup.leaves(s, 6)
+    first, want = set(), []
+    for i in np.lexsort((s.place, s.doc)):
+        key = tuple(texts[s.doc[i]].split()[s.place[i] : s.place[i] + 6])
+        if key in first:
+            want.append(i)
+        first.add(key)
+    # With all paths in five kinds, suffixes of no equal partner are nodes of their own still.
+    assert sorted(want) == later.tolist() and sorted({*range(len(s.path))} - set(want)) == lead.tolist()
+
+
+def test_word_pieces():
+    r = random.Random(1)
+    texts = ["", "a", " ".join("w" * r.randint(1, 9) + str(i) for i in range(300)) + "   \n", "x" * 700 + " y " + "z" * 500 + " 1 2 3 4 5", "   "]
+    offsets, raw = common.buffers(common.pa.array(texts))
+    for overlap in (0, 3, 19):
+        seen = collections.defaultdict(list)
+        for lo, part, off, before in common.word_pieces(raw, offsets, overlap, 64):
+            starts, ends, first = common.word_spans(part, off)
+            words = [part[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+            for k in range(len(off) - 1):
+                mine = words[first[k] : first[k + 1]]
+                seen[lo + k] += [(before + i, tuple(mine[i : i + overlap + 1])) for i in range(len(mine) - overlap)]
+        for k, t in enumerate(texts):
+            w = t.split()
+            assert seen[k] == [(i, tuple(w[i : i + overlap + 1])) for i in range(len(w) - overlap)]
 
 
 def test_jaccard_join(spark, docs, rows, empty, monkeypatch):
