@@ -9,8 +9,10 @@ from graphspark.llm.common import WORD_PATTERN, materialize
 
 #: No document is taken more often.
 MAX_EPOCHS = 3
-#: Documents of one source are dealt by a hash into so many cells, so that no task orders a whole source.
-CELLS = 1 << 12
+#: Documents of one source are dealt by a hash into so many cells, so that no task orders a whole source: at least, at most, and
+#: otherwise one for about so many documents of all sources.
+CELLS, MOST_CELLS = 1 << 12, 1 << 20
+CELL_ROWS = 50_000
 
 
 def document_size(text_col: str):
@@ -18,17 +20,22 @@ def document_size(text_col: str):
 
 
 def cyclic_weights(sources: DataFrame, source_col: str) -> DataFrame:
-    """Weights 1, 2, 3, repeating, by the code points of the names, null last. Ranks one row per source."""
-    rank = F.row_number().over(Window.orderBy(F.col(source_col).asc_nulls_last())) - 1
-    return sources.withColumn("weight", (F.pmod(rank, F.lit(3)) + 1).cast("double"))
+    """Weights 1, 2, 3, repeating, by the code points of the names, null last.
+
+    Names are dealt by ranges and ranked within their range, so no task holds all sources; the ranges' sizes are summed up in order."""
+    ranges, _ = materialize(sources.repartitionByRange(F.col(source_col).asc_nulls_last()).withColumn("__range", F.spark_partition_id()), "mix-ranges")
+    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.groupBy("__range").count().select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(source_col).asc_nulls_last())) - 1 + F.col("__before")
+    return ranges.join(starts, "__range").withColumn("weight", (F.pmod(rank, F.lit(3)) + 1).cast("double")).drop("__range", "__before")
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Adds target to sources(source_size long, weight double): shares of the total size by weight, at most max_epochs
     times the source's size; what a clamped source can't take is dealt to the others by weight, until none is above.
 
-    Each round is one aggregate with one row. At least one more source is clamped in each; the level only rises, so a
-    clamped source stays clamped.
+    Each round is one aggregate with one row, and a step of Newton's method on a concave function made of straight lines: at least one
+    more source is clamped in each, mostly very many. The level only rises, so a clamped source stays clamped.
     """
     cap = (F.col("source_size") * max_epochs).cast("long")
     level = 0.0
@@ -54,29 +61,32 @@ def mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_co
     rest of its target goes to its documents in the order of a hash of the id with the seed, whole documents but for
     one that is cut, so the words taken are the target rounded to a word. Null is a source of its own.
 
-    The order within a source is found by a running sum over CELLS cells of hash values and one within each cell: no
+    The order within a source is found by a running sum over cells of hash values (more for more rows) and one within each cell: no
     task holds a source. The table of sources is aggregated, never collected.
     Edge cases: sources without words have target and taken 0. Rows that repeat are documents of their own; ties in
-    the hash go by id, then size. A null id is hashed as an empty one. An empty table gives an empty table. Columns
-    named like the results are replaced.
+    the hash go by id, then size. A null id is replaced by the text in the hash. Very long texts are counted where they are read. An empty
+    table gives an empty table. Columns named like the results are replaced; others are kept, whatever their names.
     """
-    spark, rest = docs.sparkSession, [c for c in docs.columns if c not in (text_col, "size", "source_size", "target", "taken")]
-    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
-    sized = docs.select(*rest, document_size(text_col).alias("size"), hashed.alias("__h"))
-    sized, _ = materialize(sized.withColumn("__cell", F.floor(F.col("__h") / ((1 << 32) // CELLS)).cast("int")), "mix-sizes")
-    cells = sized.groupBy(F.col(source_col).alias("__s"), F.col("__cell").alias("__c")).agg(F.sum("size").alias("__words"))
-    sources = cells.groupBy("__s").agg(F.sum("__words").alias("source_size"))
-    sources, _ = materialize(weights(sources, "__s"), "mix-sources")
+    rest = [c for c in docs.columns if c not in (text_col, "size", "source_size", "target", "taken")]
+    named = F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
+    hashed = F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long")
+    # Of the other columns only those that the mix reads have a name of their own; all travel in one structure, so that no name can clash.
+    sized = docs.select(F.struct(*[F.col(c) for c in rest]).alias("rest"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), document_size(text_col).alias("size"), hashed.alias("h"))
+    sized, _ = materialize(sized, "mix-sizes")
+    cells = min(MOST_CELLS, max(CELLS, 1 << (sized.count() // CELL_ROWS).bit_length()))
+    sized = sized.withColumn("cell", F.floor(F.col("h") / ((1 << 32) // cells)).cast("int"))
+    by_cell = sized.groupBy("source", "cell").agg(F.sum("size").alias("words"))
+    sources, _ = materialize(weights(by_cell.groupBy("source").agg(F.sum("words").alias("source_size")), "source"), "mix-sources")
     sources = water_fill(sources, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long")
-    sources = sources.withColumn("__whole", whole).withColumn("__need", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("__whole") * F.col("source_size")))
-    before = F.sum("__words").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
-    plan = cells.withColumn("__before", F.coalesce(before, F.lit(0))).join(sources.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t", "__words")
-    rows = sized.join(plan, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c")))
-    inner = Window.partitionBy(source_col, "__cell").orderBy("__h", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("__need") - F.col("__before") - F.coalesce(F.sum("size").over(inner), F.lit(0))
-    taken = F.col("size") * F.col("__whole") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.withColumn("taken", taken.cast("long")).select(*rest, "size", "source_size", "target", "taken")
+    sources = sources.withColumn("whole", whole).select(F.col("source").alias("s"), "source_size", "target", "whole", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("whole") * F.col("source_size")).alias("need"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    plan = by_cell.withColumn("before", F.coalesce(before, F.lit(0))).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("cell").alias("c"), "before", "source_size", "target", "whole", "need")
+    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+    inner = Window.partitionBy("source", "cell").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("need") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0))
+    taken = F.col("size") * F.col("whole") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    return rows.withColumn("taken", taken.cast("long")).select(*[F.col("rest").getField(c).alias(c) for c in rest], "size", "source_size", "target", "taken")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +97,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
