@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -32,10 +33,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Runs of white space, or of anything else, that the faster library's pattern isn't given: it calls itself for each character.
+BLANK_RUN, SOLID_RUN = 1 << 12, 1 << 16
+_BLANK, _SOLID = re.compile(r"\s{%d}" % BLANK_RUN), re.compile(r"\S{%d}" % SOLID_RUN)
+
+
+def has_long_run(text: str) -> bool:
+    return len(text) >= BLANK_RUN and (_BLANK.search(text) is not None or len(text) >= SOLID_RUN and _SOLID.search(text) is not None)
+
+
+def is_plain(spec: dict, special: list[str]) -> bool:
+    """Whether a tokenizer is a byte-level BPE with the usual pattern, no normaliser, and ids in the order of its merges."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    usual = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type") == "BPE"
+    if not usual or model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    return ids == list(range(ids[0], ids[0] + len(ids))) and len(model["vocab"]) == 256 + len(ids) + sum(s in model["vocab"] for s in special)
+
+
 @functools.cache
 def encoder(path: str):
-    """A function from a text to its ids. The vocabulary file is a byte-level BPE whose ids are its merges' order, so
-    its own library and a faster one give the same ids; a text that holds a special token's string goes to the former."""
+    """A function from a text to its ids as `tokenizers` gives them. Where the vocabulary file is a plain byte-level BPE, a faster library
+    gives the same ids for most texts; one that holds a special token's string or a very long run goes to `tokenizers`."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -46,6 +67,8 @@ def encoder(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec["added_tokens"]]
+    if not is_plain(spec, special):
+        return lambda text: own().encode(text, add_special_tokens=False).ids
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(visible)]
     byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -54,7 +77,7 @@ def encoder(path: str):
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if has_long_run(text) or any(s in text for s in special):
             return own().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -246,8 +269,9 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     The plan is made on the driver from the count of each length, at most `capacity` numbers; it has a number of runs
     that the capacity and the groups bound. Pieces find their run by their rank among those of their length, which is
     counted in cells of a hash, so that no task holds all pieces of one length.
-    Edge cases: null and empty texts are one separator; rows that repeat are packed each; a null id stays null; an
-    empty table gives an empty table. Reruns give the same packing."""
+    Edge cases: null and empty texts are one separator; rows that repeat are packed each; a null id stays null; a very long text is
+    encoded whole and cut; pieces of one length are alike, so ties don't matter; other columns are ignored, whatever their names; an empty
+    table gives an empty table. Reruns give the same packing."""
     spark = docs.sparkSession
     bound_batches(spark)
     table, _ = materialize(pieces(docs, path or tokenizer_path(), id_col, text_col, capacity), "packing-pieces")
