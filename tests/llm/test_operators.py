@@ -403,3 +403,37 @@ def test_ann(spark):
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
     assert [f["rank"] for f in ann.search(few).orderBy("rank").collect()] == [1, 2, 3]
     assert ann.search(few.where("false")).count() == 0
+
+
+def test_ann_odd_vectors(spark):
+    """Squares that overflow or vanish, other lengths, repeated ids and clashing columns."""
+    big = [(i, [1e200 * (i + 1), -1e200], 1, 2) for i in range(5)] + [(10, [1e-200, 0.0], 1, 2), (11, [2e-200, 0.0], 1, 2)]
+    odd = [(100 + i, [float(i), 1.0, 2.0], 1, 2) for i in range(3)] + [(102, [9.0, 1.0, 2.0], 1, 2), (200, [1.0], 1, 2)]
+    vectors = spark.createDataFrame(big + odd, "vec_id long, embedding array<double>, part int, score int")
+    found = collections.defaultdict(list)
+    for r in ann.search(vectors, every=1).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [v for v, _ in found[0]] == [1, 10, 11, 2, 3, 4] and found[0][0][1] == pytest.approx(1e200)
+    assert found[10][0] == (11, pytest.approx(1e-200)) and 200 not in found
+    assert found[100] == [(101, 1.0), (102, 2.0), (102, 9.0)]
+
+
+def test_ann_recall_and_probes(spark):
+    """On clustered vectors few partitions are probed; on the tables' own, as many as recall asks for. Recall is measured on all queries."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(40, 24))[r.integers(0, 40, 20000)] * 4 + r.normal(size=(20000, 24))
+    clustered = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    own = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    for vectors, every, share in ((clustered, 100, 0.3), (own, 10, 1.0)):
+        report = {}
+        found = collections.defaultdict(list)
+        for f in ann.search(vectors, every=every, report=report).collect():
+            found[f["query_id"]].append(f["vec_id"])
+        rows = [(i, v) for i, v in vectors.collect() if v is not None and np.isfinite(v).all() and np.any(v)]
+        ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+        hit = total = 0
+        for q, got in found.items():
+            d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(1))
+            want = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+            hit, total = hit + len(set(want) & set(got)), total + len(want)
+        assert hit >= 0.9 * total and report["recall"] >= 0.95 and report["probes"] <= max(1, share * report["partitions"]), report
