@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import PACKED, Seen, bound_batches, buffers, cell_filter, chunks, forget, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_hashes
+from graphspark.llm.common import PACKED, Seen, bound_batches, buffers, byte_values, cell_filter, forget, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_pieces, word_spans
 from graphspark.llm.components import comparison_rows, connected_components, exact_links, with_sizes
 
 SHINGLE = 5
@@ -35,6 +35,8 @@ CELLS = 1 << 14
 #: Sets of a group: what a task compares at once.
 GROUP_SETS = 1 << 17
 FLUSH = 1 << 14
+#: Bytes of sets that a task gathers before it passes them on.
+FLUSH_SETS = 8 << 20
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +49,53 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return range_hashes(words, begin, stop, 0x27BB2EE687B0B0FD), counts
 
 
-def sketches(column: pa.Array):
-    """For pieces of a column: first row, which rows have words, and their minima."""
+def shingles_of(column: pa.Array):
+    """For pieces of a column: first row, shingle hashes, and how many each row has. A very long text comes in pieces that overlap."""
     offsets, raw = buffers(column)
-    for lo, hi in chunks(offsets):
-        h, counts = shingle_hashes(*word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+    for lo, part, off, before in word_pieces(raw, offsets, SHINGLE - 1):
+        starts, ends, first = word_spans(part, off)
+        h, counts = shingle_hashes(range_hashes(byte_values()[part], starts, ends, 0x5851F42D4C957F2D), first)
+        yield lo, h, counts, before
+
+
+def sketches(column: pa.Array):
+    """First rows, which rows have words, and their minima."""
+    held = None  # of a long text whose pieces aren't all seen
+    for lo, h, counts, before in shingles_of(column):
+        if held is not None and not before:
+            yield held
+            held = None
         some = np.flatnonzero(counts)
-        if len(some):
-            yield lo, some, minhash(h, (np.cumsum(counts) - counts)[some], TOKENS)
+        if not len(some):
+            continue
+        minima = minhash(h, (np.cumsum(counts) - counts)[some], TOKENS)
+        if before:
+            held = lo, some, np.minimum(held[2], minima)
+        elif len(counts) == 1:
+            held = lo, some, minima
+        else:
+            yield lo, some, minima
+    if held is not None:
+        yield held
+
+
+def sets_of(column: pa.Array, wanted: np.ndarray):
+    """First rows, rows, and the sorted set of shingle hashes of each wanted row with words."""
+    held, row = [], -1
+    for lo, h, counts, before in shingles_of(column):
+        if held and not before:
+            yield row, np.unique(np.concatenate(held))
+            held = []
+        stop = np.cumsum(counts)
+        for i in np.flatnonzero((counts > 0) & wanted[lo : lo + len(counts)]):
+            own = np.unique(h[stop[i] - counts[i] : stop[i]])
+            if len(counts) == 1:  # it may be a piece
+                held.append(own)
+                row = lo
+            else:
+                yield lo + int(i), own
+    if held:
+        yield row, np.unique(np.concatenate(held))
 
 
 def to_bytes(minima: np.ndarray) -> np.ndarray:
@@ -291,21 +332,25 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         seen = Seen()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets, raw = buffers(batch.column(1))
             keep = passes(wanted.value, ids)
-            for lo, hi in chunks(offsets):
-                words, first = word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                h, counts = shingle_hashes(words, first)
-                stop = np.cumsum(counts)
-                at = np.flatnonzero(keep[lo:hi] & (counts > 0))
-                at = at[seen.new(ids[lo + at])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + at]), pa.array([np.unique(h[stop[i] - counts[i] : stop[i]]).tobytes() for i in at], pa.binary())], names=["id", "data"])
+            keep[keep] = seen.new(ids[keep])
+            rows, data, size = [], [], 0
+            for i, own in sets_of(batch.column(1), keep):
+                rows.append(i), data.append(own.tobytes())
+                size += len(data[-1])
+                if size > FLUSH_SETS:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(data, pa.binary())], names=["id", "data"])
+                    rows, data, size = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(data, pa.binary())], names=["id", "data"])
+        release_memory()
 
     members = sets.mapInArrow(content, "id long, data binary").join(sized, "id").groupBy("root", "members", "id", "weight").agg(F.first("data").alias("data"))
     links, _ = materialize(exact_links(members, comparison_rows(sized), lambda column: [np.frombuffer(x.as_buffer(), "u8") for x in column], similarity), "jaccard-links")
     roots, _ = materialize(connected_components(links, "id", "other"), "jaccard-classes")
     classes = roots.join(groups, roots["id"] == groups["__set"]).select("id", "root", "rep")
-    classes = classes.join(classes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("id", "class_id")
+    smallest = classes.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    classes = join_groups(classes, smallest, "root", "members", F.xxhash64("root", "id")).select("id", "class_id")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = groups.join(classes.join(counts, "id").withColumnRenamed("id", "__set"), "__set", "left")
     found = found.select("__set", "n_copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
