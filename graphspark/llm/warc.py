@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import bound_batches, join_groups, new_path
+from graphspark.llm.common import bound_batches, join_groups, new_path, release_memory
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 REVISIT_BYTES = 100
-#: A file has at most so many captures.
-CAPTURES_PER_FILE = 2000
+#: Compressed records are gathered up to this many bytes, and so many of these pieces make up a file: a file is larger only if single
+#: records are.
+PIECE_BYTES, PIECES_PER_FILE = 4 << 20, 8
 DATE = "2020-01-01T00:00:00Z"
 # Fixed values of the format: the version line, and the profile of a revisit to an identical payload.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
 
 
 def record_id(kind: str, *parts):
@@ -36,15 +37,16 @@ def record(headers: list[tuple[str, object]], block):
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes request, response (or revisit) and metadata records of every page into gzipped archives, one gzip
-    stream a file.
+    """Writes request, response (or revisit) and metadata records of every page into archives of bounded size, each record a gzip member
+    of its own.
 
     Of equal payloads of at least REVISIT_BYTES bytes the one with the smallest id is the response. Null payloads are
     empty; a null id is written as null and never is the smallest; rows that repeat an id and
-    a payload are numbered, so each has records of its own; line breaks in addresses are escaped. Payloads are
+    a payload are numbered, so each has records of its own; line breaks in addresses are escaped; very long payloads are records like any
+    other; an empty table gives no records; other columns are ignored, whatever their names. Payloads are
     shuffled once, by their digest; those that most pages share are resolved by a broadcast of a fixed number of rows. Spark's text
-    writer ends each record with the two line breaks that the format asks for, so any file system can be written to.
-    """
+    writer writes the bytes, so any file system can be written to and a lost task leaves nothing: a member ends with a zero byte (its
+    length is below 2**24, or else readers skip the zero byte as padding), which is what the writer puts between rows."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(url_col, "\r", "%0D"), "\n", "%0A").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
@@ -67,8 +69,32 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     request = record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("id"), F.col("digest"), F.col("nth"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], asked)
     notes = F.concat(F.lit("capture-id: "), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("\r\n"))
     metadata = record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"), F.col("digest"), F.col("nth"))), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))], notes)
-    lines = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).option("compression", "gzip").text(path)
+    bound_batches(pages.sparkSession)
+    records = rows.select(request.alias("request"), F.when(revisit, again).otherwise(response).alias("capture"), metadata.alias("metadata"))
+    pieces = records.mapInArrow(compress, "value binary").select(F.col("value").cast("string").alias("value"))
+    pieces.write.option("lineSep", "\0").option("maxRecordsPerFile", PIECES_PER_FILE).text(path)
+
+
+def compress(batches):
+    """Records as gzip members, many in a row but for its last zero byte."""
+    held, size = [], 0
+
+    def piece():
+        data = b"".join(held)
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1] if data.endswith(b"\0") else data], pa.binary())], names=["value"])
+
+    for batch in batches:
+        for row in zip(*(c.cast(pa.binary()) for c in batch.columns)):
+            for text in row:
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                held += [packer.compress(text.as_buffer()), packer.compress(RECORD_END), packer.flush()]
+                size += len(held[-3]) + len(held[-1])
+            if size >= PIECE_BYTES:
+                yield piece()
+                held, size = [], 0
+    if held:
+        yield piece()
+    release_memory()
 
 
 RECORD = T.StructType(
@@ -77,30 +103,50 @@ RECORD = T.StructType(
 )
 
 
-def parse(raw: bytes):
-    """Yields the header fields (in lower case) and the block of each record of an archive, gzipped or not."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at, n = 0, len(raw)
+def members(data, step: int = 1 << 16):
+    """What each member of a gzip file holds, or the data itself if it isn't compressed."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield data
+        return
+    at, n = 0, len(view)
     while at < n:
-        stop = raw.find(b"\r\n\r\n", at)
-        if stop < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
-        for line in raw[at:stop].split(b"\r\n")[1:]:
-            k, _, v = line.partition(b":")
-            headers[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
-        begin = stop + 4
-        end = begin + int(headers["content-length"])
-        if end > n:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield headers, raw[begin:end]
-        at = end + 4
+        if view[at] == 0:  # padding
+            at += 1
+            continue
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            if at >= n:
+                raise ValueError("the last member is cut off")
+            parts.append(reader.decompress(view[at : at + step]))
+            at = min(at + step, n)
+        at -= len(reader.unused_data)
+        yield b"".join(parts)
+
+
+def parse(data):
+    """Yields the header fields (in lower case) and the block of each record of an archive, compressed or not."""
+    for raw in members(data):
+        at, n = 0, len(raw)
+        while at < n:
+            stop = raw.find(b"\r\n\r\n", at)
+            if stop < 0 or not raw.startswith(b"WARC/", at):
+                raise ValueError(f"no WARC record at byte {at}")
+            headers = {}
+            for line in raw[at:stop].split(b"\r\n")[1:]:
+                k, _, v = line.partition(b":")
+                headers[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
+            begin = stop + 4
+            end = begin + int(headers["content-length"])
+            if end > n:
+                raise ValueError(f"the record at byte {at} is cut off")
+            yield headers, raw[begin:end]
+            at = end + 4
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row per record. Files are read whole, a task's files one after the other; they are as large as write_warc
-    leaves them. Without payload its bytes are digested and dropped."""
+    """One row per record. A task's files are read one after the other and their records decompressed one by one; files are as large as
+    write_warc leaves them. Without payload its bytes are digested and dropped. No file gives no row."""
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
@@ -108,7 +154,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for h, block in parse(content.as_py()):
+                for h, block in parse(content.as_buffer()):
                     kind = h.get("warc-type")
                     body = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else b""
                     full = kind == "response"
@@ -116,7 +162,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                         kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), h.get("warc-payload-digest"),
                         block.decode("utf-8", "replace") if kind in ("metadata", "request") else None, body if payload and full else None, len(body) if full else None, hashlib.sha256(body).hexdigest() if full else None,
                     ))
-                    if len(out) == 2000:
+                    if len(out) == 500:
                         yield to_batch(out)
                         out = []
                 if out:
@@ -150,13 +196,15 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Adds origin: of each revisit the response's page, size and digest; of a response its own."""
+    """Adds origin: of each revisit the response's page, size and digest (null where that is absent); of a response its own. The
+    responses that most revisits refer to are broadcast, a fixed number of rows."""
     size = F.struct(F.col("page").alias("page"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"))
-    narrow = captures.withColumn("origin_own", size)
-    targets = captures.where("response.record_type = 'response'").select(F.col("capture_id").alias("__target"), size.alias("__origin"))
-    key = F.coalesce(F.col("response.refers_to"), F.col("capture_id"))
-    joined = narrow.where("response.record_type = 'revisit'").join(targets, key == F.col("__target"), "left").withColumn("origin", F.col("__origin")).drop("__target", "__origin", "origin_own")
-    return narrow.where("response.record_type = 'response'").withColumn("origin", F.col("origin_own")).drop("origin_own").unionByName(joined)
+    responses = captures.where("response.record_type = 'response'").withColumn("origin", size)
+    revisits = captures.where("response.record_type = 'revisit'").withColumn("__target", F.coalesce("response.refers_to", "capture_id"))
+    times = revisits.groupBy("__target").agg(F.count(F.lit(1)).alias("__times"))
+    targets = responses.select(F.col("capture_id").alias("__target"), "origin").join(times, "__target")
+    found = join_groups(revisits, targets, "__target", "__times", F.md5(F.col("capture_id").cast("binary"))).drop("__target", "__times")
+    return responses.unionByName(found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

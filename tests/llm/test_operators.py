@@ -1,4 +1,5 @@
 import collections
+import gzip
 import random
 import zlib
 
@@ -294,6 +295,25 @@ def test_warc(spark, tmp_path):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort"))
 
 
+def test_warc_members(spark, tmp_path):
+    """Each record is a gzip member of its own, as readers of archives expect; files are bounded by their bytes."""
+    r = random.Random(3)
+    rows = [(i, f"http://h/{i}", "".join(chr(r.randint(32, 0x3FF)) for _ in range(n))) for i, n in enumerate([0, 1, 70000, 3, 200] + [60000] * 200)]
+    rows.append((900, "http://h/long", "x" * (17 << 20)))
+    path = tmp_path / "w"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), str(path))
+    files = sorted(path.glob("part-*"))
+    assert len(files) > 0 and all(f.stat().st_size < (warc.PIECES_PER_FILE + 1) * warc.PIECE_BYTES for f in files)
+    n = 0
+    for f in files:
+        data = f.read_bytes()
+        n += sum(1 for m in warc.members(data) if len(list(warc.parse(m))) == 1)
+        assert gzip.decompress(data).count(b"WARC-Type: response") == sum(h["warc-type"] == "response" for h, _ in warc.parse(data))
+    assert n == 3 * len(rows)
+    got = {int(c["page"]): bytes(c["response"]["payload"]).decode() for c in warc.assemble(warc.read_warc(spark, str(path))).collect()}
+    assert got == {i: t for i, _, t in rows}
+
+
 def test_warc_repeated_rows(spark, tmp_path):
     html = "<html>" + "x" * 120
     rows = [(1, "u", html), (1, "u", html), (1, "v", html), (2, "w", html), (None, "n", html), (None, "n", html), (None, None, ""), (None, None, None), (3, "s", "short"), (3, "s", "short")]
