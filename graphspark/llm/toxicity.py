@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import bound_batches, held_out
+from graphspark.llm.common import bound_batches, held_out, materialize
 
 #: Labelled documents learned from, per class, and the longest that is learned from. The only sample that is drawn.
 TRAIN_DOCS = 4000
@@ -84,7 +86,11 @@ def matches(auto, text: str) -> list[tuple[int, int, float]]:
                 free.append((start, end + 1))
         elif n > best.get(start, (0, 0.0))[0]:
             best[start] = n, weight
-    return [(s, s + n, w) for s, (n, w) in best.items() if not any(a <= s < b for a, b in free)]
+    if not free:
+        return [(s, s + n, w) for s, (n, w) in best.items()]
+    free.sort()
+    begins, reach = [a for a, _ in free], list(itertools.accumulate((b for _, b in free), max))
+    return [(s, s + n, w) for s, (n, w) in best.items() if not ((i := bisect.bisect_right(begins, s)) and reach[i - 1] > s)]
 
 
 def features(found: list, text: str) -> tuple[float, float]:
@@ -144,23 +150,28 @@ def fit(texts: list[str], toxic: list[int], max_entries: int = MAX_ENTRIES) -> M
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
     """Learns from about train_docs labelled documents of each class, chosen by a hash of the id among those not held out.
 
-    The labels of the sample are at most about 2 * train_docs rows of two numbers, which is what is broadcast."""
-    rows = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null")
+    The sample is about 2 * train_docs texts of TRAIN_DOC_BYTES at most, fitted on the driver; what is broadcast are their ids and labels.
+    The counts that set the rates cover all documents that may be learned from. Ids that repeat are learned from once."""
+    rows = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null").dropDuplicates(["__id"])
+    short = docs.where(F.octet_length(text_col) <= TRAIN_DOC_BYTES).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    rows = rows.join(short, "__id")
     counts = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
     u = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("__y") == 1, F.lit(min(1.0, train_docs / counts.get(1, 1)))).otherwise(F.lit(min(1.0, train_docs / counts.get(0, 1))))
-    chosen = rows.where(u < rate).dropDuplicates(["__id"])
-    sample = docs.where(~held_out(id_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).where(F.octet_length(text_col) <= TRAIN_DOC_BYTES).select("__id", text_col, "__y").collect()
-    sample.sort(key=lambda r: (r[0], r[1]))
+    chosen, _ = materialize(rows.where(u < rate), "toxicity-labels")
+    sample = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= TRAIN_DOC_BYTES).join(F.broadcast(chosen), F.col("__of") == F.col("__id")).select("__id", "__text", "__y").collect()
+    first = {r[0]: r for r in sorted(sample, key=lambda r: (r[0], r[1]))[::-1]}
+    sample = [first[k] for k in sorted(first)]
     return fit([r[1] for r in sample], [r[2] for r in sample])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds toxicity (0 to 1) and n_matches to the columns in keep (default: all).
 
-    The score depends on the whole text alone. The model is at most 2 * MAX_ENTRIES short strings. A null text counts
-    as empty, which has the score of a text without matches; an empty table gives an empty table; columns named like
-    the results are replaced."""
+    The score depends on the whole text alone, so rows that repeat have the same one, and takes time in proportion to its length. The
+    model is at most 2 * MAX_ENTRIES short strings. A null text counts as empty, which has the score of a text without matches; of entries
+    that start at one place the longest counts; an empty table gives an empty table; columns named like the results are replaced, others
+    are kept."""
     bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("toxicity", "n_matches")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("toxicity", T.DoubleType()), T.StructField("n_matches", T.IntegerType())])
