@@ -228,7 +228,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     report: takes the number of partitions, of probes, and the recall measured.
     Vectors that are null, zero or empty, or with null or non-finite components take no part, nor do null ids. Vectors of another length
     than the most common one have a distance to their own length only, and are compared with all of it. Rows that repeat are candidates
-    each, except for the query's own id; ties go to the smaller id. Distances beyond the range of a double are infinite. An empty
+    each, except for the query's own id, and a query's id asks once, with the smallest of its vectors; ties go to the smaller id. Distances beyond the range of a double are infinite. An empty
     table, or a table of one vector, gives an empty table. Other columns are ignored, whatever their names."""
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -293,7 +293,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(part).astype(np.int32))], names=routed.names)
 
-    queries, _ = materialize(index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding").mapInArrow(route, routed), "ann-queries")
+    queries, _ = materialize(index.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(route, routed), "ann-queries")
     asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     sizes = spark.createDataFrame([(p, -(-n // BLOCK), -(-asked[p] // BLOCK)) for p, n in sorted(held.items()) if p in asked] or [(-1, 1, 1)], "part int, blocks int, query_blocks int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
