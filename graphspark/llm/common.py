@@ -78,6 +78,11 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def new_name(columns: list[str]) -> str:
+    """A name that none of the columns has."""
+    return "text_" + "_" * max(map(len, columns), default=0)
+
+
 def spread_id(id_col: str, text_col: str):
     """The id as a number; null ids come after the others and are spread by a hash of their text, so that they don't meet in one place."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 62)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import CHUNK_BYTES, bound_batches, buffers, chunks, held_out, release_memory
+from graphspark.llm.common import CHUNK_BYTES, bound_batches, buffers, chunks, held_out, new_name, release_memory
 
 #: Documents learned from per language, the longest that is learned from, and the bytes of text per language (as expected of a
 #: sample at a fixed rate). The only sample that is drawn.
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             names, score, bits = predict(shared.value, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(score), pa.array(bits)], names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(new_name(keep))).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import bound_batches, held_out, materialize
+from graphspark.llm.common import bound_batches, held_out, materialize, new_name
 
 #: Labelled documents learned from, per class, and the longest that is learned from. The only sample that is drawn.
 TRAIN_DOCS = 4000
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 values[i], hits[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y)))), len(found)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(values), pa.array(hits)], names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(new_name(keep))).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

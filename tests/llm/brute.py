@@ -1,6 +1,7 @@
 """Plain versions to compare with."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -74,3 +75,62 @@ def kept_lines(docs, k=7):
         best[r] = min(best[r], first[s])
     keep = set(best.values())
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip(" \t\n\v\f\r") or (i, n) in keep) for i, t in docs}
+
+
+def ppm_bits(train, text, order=3):
+    """Code lengths of a text under each language: plain recursion over context trees, escapes by method C, with exclusion.
+    train: (language, bytes). Contexts seen twice at least in all languages together are known; texts begin after spaces."""
+    symbols = {c for _, t in train for c in t} | {0x20}
+    total, counts = defaultdict(int), defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
+    for lang, t in train:
+        s = [0x20] * order + [c if c in symbols else -1 for c in t]
+        for k in range(order, len(s)):
+            for n in range(order + 1):
+                context = tuple(s[k - n : k])
+                total[context] += 1
+                counts[lang][context][s[k]] += 1
+
+    def p(lang, context, c):
+        """Of the symbol after the longest known end of a context."""
+        while context and total[context] < 2:
+            context = context[1:]
+        if context is None:
+            return 0
+        after = counts[lang][context] if context in counts[lang] else {}
+        n, q = sum(after.values()), len(after)
+        shorter = (lambda x: p(lang, context[1:], x)) if context else (lambda x: 1 / 256 if x >= 0 else (256 - len(symbols)) / 256)
+        if not n:
+            return shorter(c)
+        if c in after:
+            return after[c] / (n + q)
+        return q / (n + q) * shorter(c) / max(1e-9, 1 - sum(shorter(x) for x in after))
+
+    out = []
+    s = [0x20] * order + [c if c in symbols else -1 for c in text]
+    for lang in sorted({k for k, _ in train}):
+        bits = 0.0
+        for k in range(order, len(s)):
+            bits -= math.log2(p(lang, tuple(s[k - order : k]), s[k]))
+            bits += math.log2(256 - len(symbols)) if s[k] < 0 else 0
+        out.append(bits)
+    return out
+
+
+def lexicon_matches(stems, exceptions, text):
+    """Start, end and weight of entries in a folded text, tried one by one at each place."""
+    free = []
+    for e in exceptions:
+        at = text.find(e)
+        while at >= 0:
+            if (not at or not text[at - 1].isalnum()) and (at + len(e) == len(text) or not text[at + len(e)].isalnum()):
+                free.append((at, at + len(e)))
+            at = text.find(e, at + 1)
+    out = []
+    for i in range(len(text)):
+        if i and text[i - 1].isalnum():
+            continue
+        fits = [k for k in stems if text.startswith(k, i)]
+        if fits and not any(a <= i < b for a, b in free):
+            k = max(fits, key=len)
+            out.append((i, i + len(k), stems[k]))
+    return out

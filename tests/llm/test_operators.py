@@ -242,6 +242,42 @@ def test_code_lengths_are_those_of_the_tree():
             assert bits == pytest.approx(whole[li], rel=1e-5)
 
 
+def test_code_lengths_against_plain_recursion():
+    r = random.Random(4)
+    train = [(r.choice("xyz"), " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(20)).encode()) for letters in ["abc", "bcde", "cdéf", "aab", "xyz!"] * 4]
+    model = language_id.fit([t for _, t in train], [k for k, _ in train])
+    for text in (b"", b"a", "abc déf é!".encode(), b"unseen QQ \xff bytes", train[3][1]):
+        for limit in (7, 1 << 17):
+            found = language_id.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]), limit)[0]
+            assert found == pytest.approx(B.ppm_bits(train, text), rel=1e-4, abs=1e-4)
+
+
+def test_language_fit_is_frugal():
+    """Memory of the fit in proportion to the sample: it runs on the driver."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    texts = [bytes(r.integers(97, 117, 4000, dtype=np.uint8)) for _ in range(400)]
+    labels = ["abcd"[i % 4] for i in range(400)]
+    tracemalloc.start()
+    model = language_id.fit(texts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * model.bits.nbytes + 40 * sum(map(len, texts)) / 4 + (32 << 20)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_lexicon_against_plain_matching(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
+    stems = {word(): r.random() + 1 for _ in range(8)}
+    exceptions = [e for e in (f"{word()} {word()}" for _ in range(6)) if e not in stems]
+    auto = toxicity.automaton(toxicity.Model(stems, exceptions))
+    for _ in range(50):
+        text = " ".join(word() for _ in range(30)).replace("b c", "b-c")
+        assert sorted(toxicity.matches(auto, text)) == B.lexicon_matches(stems, exceptions, text)
+
+
 def test_toxicity(spark, empty):
     r = random.Random(3)
     rows, labels = [], []
