@@ -15,17 +15,6 @@ BLOCK = 512
 PART_ROWS = 4096
 
 
-#: Rows of one key from which a round joins its largest groups by a broadcast of HOT_GROUPS rows.
-HOT_ROWS = 512
-
-
-def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: bool, *spread) -> DataFrame:
-    """rows with the columns of their group, which every row has. hot: some groups are large."""
-    if hot:
-        return join_groups(rows, groups, key, size, F.xxhash64(*spread))
-    return rows.join(groups, key)
-
-
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """id, root (the smallest id of the component) of every id with an edge to another.
 
@@ -37,25 +26,22 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     current, path = materialize(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), "components")
 
-    def most(table: DataFrame) -> int:
-        """Most edges of one id."""
-        return table.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    def joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        return join_groups(rows, groups, "u", "n", F.xxhash64("u", "v"))
 
-    largest = most(current)
     while True:
-        hot = largest >= HOT_ROWS
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_group(both.where("v > u"), smallest, "u", "n", hot, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = joined(both.where("v > u"), smallest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = with_group(large, least, "u", "n", hot, "u", "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = joined(large, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = materialize(small, "components")
         ends = new.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(new.select(F.col("v").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-        ids = ends.groupBy("id").agg(F.sum("child").alias("c"), F.sum("parent").alias("p"))
-        state = ids.agg(F.max(F.col("c") + F.col("p")).alias("most"), F.count(F.when((F.col("c") > 1) | ((F.col("c") == 1) & (F.col("p") > 0)), 1)).alias("open")).first()
+        open_ids = ends.groupBy("id").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or (c = 1 and p = 1)")
+        done = open_ids.isEmpty()
         forget(spark, path)
-        current, path, largest = new, new_path, state["most"] or 0
-        if not state["open"]:
+        current, path = new, new_path
+        if done:
             roots = current.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
             return current.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
