@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
 from graphspark.plans.loop import fixpoint
+from graphspark.plans.tables import bucketed
 
 
 def colour(g: Graph) -> DataFrame:
@@ -14,7 +15,7 @@ def colour(g: Graph) -> DataFrame:
 
     In a round every vertex whose smaller neighbours are all coloured takes its colour, so the result doesn't depend on how many
     take theirs at once. A vertex gathers the set of colours around it, of which there are far fewer than neighbours."""
-    both = g.directed("both").where("src < dst").select(F.col("src").alias("low"), F.col("dst").alias("id")).distinct()
+    both = bucketed(g.directed("both").where("src < dst").select(F.col("src").alias("low"), F.col("dst").alias("id")).distinct(), "arcs", "id")
     state = g.vertices.select("id", F.lit(None).cast("long").alias("colour"), F.lit(True).alias("changed"))
 
     def step(s: DataFrame, i: int, seen: dict) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphspark.graph import Graph
 from graphspark.operators.transforms import dense_rank_ids
 from graphspark.plans.loop import fixpoint
+from graphspark.plans.tables import bucketed
 
 
 def connected_components(g: Graph, method: str = "hook") -> DataFrame:
@@ -15,7 +16,7 @@ def connected_components(g: Graph, method: str = "hook") -> DataFrame:
 
     hook: each label moves to the smallest label of the neighbours, then to its label's label (pointer jumping), so long
     paths take logarithmically many rounds. bfs: labels spread from what changed last round alone."""
-    arcs = g.directed("both").where("src <> dst").select("src", "dst").distinct()
+    arcs = bucketed(g.directed("both").where("src <> dst").select("src", "dst").distinct(), "arcs", "src")
     state = g.vertices.select("id", F.col("id").alias("component"), F.lit(True).alias("changed"))
 
     def step(s: DataFrame, i: int, seen: dict) -> DataFrame:

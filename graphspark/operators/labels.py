@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
 from graphspark.plans.loop import fixpoint
+from graphspark.plans.tables import bucketed
 
 ACTIVITIES = ("always", "inner", "previous", "recent")
-#: A passive vertex becomes active when more than this share of its neighbours has changed.
-REACTIVATE = 0.006
-#: Rounds without a change after which a vertex rests.
-PATIENCE = 4
+# A passive vertex becomes active when more than this share of its neighbours has changed; rounds without a change after
+# which a vertex rests.
+REACTIVATE, PATIENCE = 0.006, 4
 
 
 def label_propagation(g: Graph, iterations: int = 20, activity: str = "always", direction: str = "out") -> DataFrame:
@@ -24,11 +24,13 @@ def label_propagation(g: Graph, iterations: int = 20, activity: str = "always",
     PATIENCE rounds."""
     if activity not in ACTIVITIES:
         raise ValueError(f"activity is one of {ACTIVITIES}, not {activity}")
-    arcs = g.directed(direction).select("src", "dst")
+    arcs = bucketed(g.directed(direction).select("src", "dst"), "arcs", "dst")
     state = g.vertices.select("id", F.col("id").alias("label"), F.lit(0).alias("rest"), F.lit(True).alias("active"), F.lit(True).alias("changed"))
 
     def step(s: DataFrame, i: int, seen: dict) -> DataFrame:
-        seen_by = arcs.join(s.where("active").select(F.col("id").alias("src")), "src", "left_semi").join(s.select(F.col("id").alias("dst"), "label"), "dst")
+        seen_by = arcs.join(s.select(F.col("id").alias("dst"), "label"), "dst")
+        if activity != "always":
+            seen_by = seen_by.join(s.where("active").select(F.col("id").alias("src")), "src", "left_semi")
         votes = seen_by.groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", "label")).alias("best"), F.count(F.lit(1)).alias("kinds"))
         new = s.join(best, "id", "left").withColumn("new", F.coalesce("best.label", "label")).withColumn("moved", F.col("new") != F.col("label"))

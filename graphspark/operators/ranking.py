@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
 from graphspark.plans.loop import fixpoint
+from graphspark.plans.tables import bucketed
 
 DAMPING = 0.85
 
@@ -21,12 +22,12 @@ def page_rank(g: Graph, iterations: int = 5, direction: str = "forward", damping
     clean = Graph(g.vertices, g.edges.where("src <> dst").select("src", "dst"))
     if direction == "transpose":
         clean = clean.reverse()
-    n = g.vertices.count()
-    state = clean.degrees().select("id", "degree", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(True).alias("changed"))
+    n, arcs = g.vertices.count(), bucketed(clean.edges, "arcs", "src")
+    state = Graph(g.vertices, arcs).degrees().select("id", "degree", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(True).alias("changed"))
     dangling = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0))
 
     def step(s: DataFrame, i: int, seen: dict) -> DataFrame:
-        sent = s.join(clean.edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("m")).withColumnRenamed("dst", "id")
+        sent = s.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("m")).withColumnRenamed("dst", "id")
         new = (1 - damping) / n + damping * (F.coalesce("m", F.lit(0.0)) + F.lit(seen["dangling"] / n))
         moved = F.lit(True) if tolerance is None else F.abs(F.col("new") - F.col("rank")) > tolerance
         return s.join(sent, "id", "left").withColumn("new", new).select("id", "degree", F.col("new").alias("rank"), moved.alias("changed"))
@@ -37,6 +38,7 @@ def page_rank(g: Graph, iterations: int = 5, direction: str = "forward", damping
 def hits(g: Graph, steps: int = 3) -> DataFrame:
     """id, authority, hub, each of length 1 (zeros if there are no arcs). Loops and parallel arcs count."""
     state = g.vertices.select("id", F.lit(1.0).alias("authority"), F.lit(1.0).alias("hub"))
+    arcs = {key: bucketed(g.edges.select("src", "dst"), "arcs", key) for key in ("src", "dst")} if steps else {}
     squares = {"a2": F.sum(F.col("authority") * F.col("authority")), "h2": F.sum(F.col("hub") * F.col("hub"))}
     unit = lambda c, s: F.col(c) / F.lit(s**0.5 if s else 1.0)
 
@@ -44,7 +46,7 @@ def hits(g: Graph, steps: int = 3) -> DataFrame:
         value, other, key, to = ("hub", "authority", "src", "dst") if i % 2 else ("authority", "hub", "dst", "src")
         if i > 1:
             s = s.withColumn(value, unit(value, seen["h2" if value == "hub" else "a2"]))
-        sent = s.join(g.edges.select("src", "dst"), F.col("id") == F.col(key)).groupBy(to).agg(F.sum(value).alias("m")).withColumnRenamed(to, "id")
+        sent = s.join(arcs[key], F.col("id") == F.col(key)).groupBy(to).agg(F.sum(value).alias("m")).withColumnRenamed(to, "id")
         return s.join(sent, "id", "left").withColumn(other, F.coalesce("m", F.lit(0.0))).select("id", "authority", "hub")
 
     out = fixpoint(half, state, 2 * steps, changed=None, **squares)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
 from graphspark.plans.loop import fixpoint
-from graphspark.plans.tables import materialize
+from graphspark.plans.tables import bucketed, materialize
 
 #: Trims before each colouring, and hops of a colouring or search between two writes.
 TRIMS, HOPS = 3, 4
@@ -27,7 +27,7 @@ def strong_components(g: Graph) -> DataFrame:
             both = arcs.select("src").distinct().intersect(arcs.select("dst").distinct())
             inner = both.withColumnRenamed("src", "v")
             arcs = arcs.join(inner.withColumnRenamed("v", "src"), "src", "left_semi").join(inner.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
-        arcs, _ = materialize(arcs, "scc-arcs")
+        arcs = bucketed(arcs, "arcs", "src")
         if arcs.isEmpty():
             break
         ids = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -35,7 +35,7 @@ def strong_components(g: Graph) -> DataFrame:
         colour, _ = materialize(colour, "scc-colours")
         by = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
         inside, _ = materialize(arcs.join(by("src"), "src").join(by("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"), "scc-inside")
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = bucketed(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "arcs", "src")
         start = colour.select("id", F.when(F.col("colour") == F.col("id"), 1).otherwise(2).alias("mark"), (F.col("colour") == F.col("id")).alias("changed"))
         found = fixpoint(lambda s, i, seen: _spread(s, back, "mark"), start).where("mark = 1").select("id")
         labels, _ = materialize(found.join(colour, "id").select("id", F.col("colour").alias("component")), "scc-labels")

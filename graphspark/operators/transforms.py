@@ -40,10 +40,15 @@ def dense_rank_ids(rows: DataFrame, *order: Column) -> DataFrame:
     return parts.join(F.broadcast(begin), "p").select("id", (F.col("begin") + F.col("i")).alias("new_id"))
 
 
+def id_hash(seed: int, *columns: str) -> Column:
+    """Hexadecimal digits of columns (the id) and a seed, which other engines can repeat."""
+    return F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in columns or ("id",)], F.lit(str(seed))).cast("binary"))
+
+
 def shuffle_labels(g: Graph, seed: int = 0) -> Graph:
     """A pseudo-random permutation of the ids, the same for the same seed."""
     ids = g.vertices.select("id")
-    return relabel(g, dense_rank_ids(ids, F.xxhash64("id", F.lit(seed)), F.col("id")))
+    return relabel(g, dense_rank_ids(ids, id_hash(seed), F.col("id")))
 
 
 def degree_order(g: Graph, direction: str = "out") -> DataFrame:
@@ -114,7 +119,7 @@ def shards(g: Graph, size: int) -> DataFrame:
 def random_vertex(g: Graph, seed: int = 0, with_arcs: bool = True) -> int:
     """A vertex chosen by a hash; with_arcs: only of those that have outgoing ones."""
     ids = g.edges.select(F.col("src").alias("id")).distinct() if with_arcs else g.vertices.select("id")
-    return ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").first()["id"]
+    return ids.orderBy(id_hash(seed), "id").first()["id"]
 
 
 def find_edges(g: Graph, src: int, dst: int) -> DataFrame:
@@ -145,5 +150,5 @@ def permute(values: DataFrame, positions: DataFrame) -> DataFrame:
 
 def random_values(rows: DataFrame, name: str, upper: float, seed: int, whole: bool = False) -> DataFrame:
     """A column of values in [0, upper) that depend on the row's columns and the seed alone."""
-    u = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    u = F.conv(F.substring(id_hash(seed, *rows.columns), 1, 13), 16, 10).cast("long") / float(1 << 52)
     return rows.withColumn(name, F.floor(u * upper).cast("long") if whole else u * upper)

@@ -51,8 +51,17 @@ def label_steps(kind: int, n: int) -> str:
     return over(kind, body)
 
 
-def recent_steps(kind: int, n: int) -> str:
-    return label_steps(kind, n) + f" SELECT id, label FROM l{n}"
+def recent_steps(kind: int, n: int, patience: int = 4) -> str:
+    """Vertices that didn't move for more than `patience` rounds rest for good."""
+    body = ", l0 AS (SELECT id, id AS label, 0 AS rest FROM v)"
+    for k in range(n):
+        body += f", c{k} AS (SELECT e.src AS id, d.label, count(*) AS n FROM e JOIN l{k} s ON s.id = e.src AND s.rest <= {patience} JOIN l{k} d ON d.id = e.dst GROUP BY 1, 2), w{k} AS (SELECT id, arg_max(label, n * 1000000000 + label) AS label FROM c{k} GROUP BY id), l{k + 1} AS (SELECT l{k}.id, coalesce(w{k}.label, l{k}.label) AS label, CASE WHEN coalesce(w{k}.label <> l{k}.label, false) THEN 0 ELSE rest + 1 END AS rest FROM l{k} LEFT JOIN w{k} USING (id))"
+    return over(kind, body + f" SELECT id, label FROM l{n}")
+
+
+WALK = """, a AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS n, count(*) OVER (PARTITION BY src) AS d FROM e),
+      w(t, walk, cur) AS (SELECT 0, id, id FROM v UNION ALL SELECT t + 1, walk, coalesce(a.dst, -1) FROM w LEFT JOIN a ON a.src = w.cur AND a.n = (w.walk * 7919 + w.t * 104729 + 42) % a.d WHERE t < 10)
+      SELECT walk, walk AS start, cur AS "end" FROM w WHERE t = 10"""
 
 
 def previous_steps(kind: int, n: int) -> str:
@@ -102,10 +111,6 @@ ORACLES = {
     "edge_segments": over(1, " SELECT dst // 512 AS dst_segment, src // 512 AS src_segment, count(*) AS arcs FROM e GROUP BY 1, 2"),
     "edge_lookup": over(1, " SELECT src, dst, weight FROM e WHERE src = 3 AND dst = 5 UNION ALL SELECT src, dst, weight FROM e WHERE src = dst"),
     "edge_list_lines": over(2, ", z AS (SELECT CASE WHEN min(least(src, dst)) = 0 THEN 1 ELSE 0 END AS z FROM e) SELECT (src + z)::VARCHAR || ' ' || (dst + z)::VARCHAR AS value FROM e, z"),
-    "reduce_sum": over(1, DEG + " SELECT sum(degree)::BIGINT AS value FROM deg"),
-    "reduce_min": over(1, DEG + " SELECT min(degree) AS value FROM deg"),
-    "reduce_max": over(1, DEG + " SELECT max(degree) AS value FROM deg"),
-    "reduce_avg": over(1, DEG + " SELECT avg(degree) AS value FROM deg"),
     "frontier_gnf": over(1, DEG + " SELECT id FROM deg WHERE degree > 15"),
     "frontier_stats": over(1, DEG + ", k AS (SELECT count(*) FILTER (WHERE degree > 15) AS size, coalesce(sum(degree) FILTER (WHERE degree > 15), 0)::BIGINT AS neighbours, count(*) AS v FROM deg) SELECT size, neighbours, CASE WHEN size = v THEN 'ALL_ACTIVE' WHEN size / v > 0.7 THEN 'DENSE' ELSE 'SPARSE' END AS sparsity FROM k"),
     "scatter_min": over(1, X + " SELECT dst AS id, min(x + weight::BIGINT) AS message FROM e JOIN s ON s.id = src GROUP BY 1"),
@@ -130,17 +135,18 @@ ORACLES = {
     "scc_labels": over(2, SCC + " SELECT * FROM k", True), "scc_sizes": over(3, SCC + " " + SIZES.format("k"), True),
     "condensation": over(2, SCC + " SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE a.component <> b.component", True),
     "tc_pairs": TC, "tc_pairs_bfs": TC,
-    "label_prop": recent_steps(2, 3), "label_prop_recent": recent_steps(2, 3), "label_prop_previous": previous_steps(2, 3), "label_prop_inner": inner_steps(2, 3),
+    "label_prop": label_steps(2, 3) + " SELECT id, label FROM l3", "label_prop_dense": label_steps(1, 3) + " SELECT id, label FROM l3", "label_prop_recent": recent_steps(2, 8), "label_prop_previous": previous_steps(2, 3), "label_prop_inner": inner_steps(2, 3),
     "community_sizes": label_steps(2, 3) + " SELECT label, count(*) AS size FROM l3 GROUP BY label",
     "coloring": over(2, UND + """, o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM v), lo AS (SELECT dst AS id, list(src) AS low FROM u WHERE src < dst GROUP BY dst),
       c(n, id, colour) USING KEY (id) AS (SELECT 1::BIGINT, min(id), 0::BIGINT FROM o UNION
         SELECT o.n, o.id, (SELECT min(k) FROM range(0, 64) t(k) WHERE k NOT IN (SELECT r.colour FROM recurring.c r WHERE list_contains(lo.low, r.id)))
         FROM (SELECT max(n) AS n FROM c) m JOIN o ON o.n = m.n + 1 LEFT JOIN lo USING (id))
       SELECT id, colour FROM c""", True),
-    "coloring_check": "SELECT 0::BIGINT AS conflicts",
-    "random_walk": over(2, """, a AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS n, count(*) OVER (PARTITION BY src) AS d FROM e),
-      w(t, walk, cur) AS (SELECT 0, id, id FROM v UNION ALL SELECT t + 1, walk, coalesce(a.dst, -1) FROM w LEFT JOIN a ON a.src = w.cur AND a.n = (w.walk * 7919 + w.t * 104729 + 42) % a.d WHERE t < 10)
-      SELECT walk, walk AS start, cur AS "end" FROM w WHERE t = 10""", True),
+    "coloring_check": over(2, " SELECT count(*) AS conflicts FROM e WHERE src <> dst AND src = dst"),
+    "random_walk": over(2, WALK, True), "random_walk_dense": over(1, WALK, True),
+    "bfs_dense": over(1, LEVELS + " SELECT * FROM lv", True), "cc_dense": over(1, UND + CC + " SELECT * FROM c", True), "hits_dense": hits(1),
+    **{f"{k}_dense": over(1, SSSP + " SELECT v.id, coalesce(x, 3.4028234663852886e38) AS distance FROM v LEFT JOIN d USING (id)", True) for k in ("sssp", "sssp_pull")},
+    "sswp_dense": over(1, SSWP + " SELECT v.id, coalesce(x, 0) AS width FROM v LEFT JOIN d USING (id)", True),
     "perf_find": f"WITH {RESULTS} SELECT graph_name, arch_name, perf_val FROM r WHERE app_name = 'A'",
     "perf_distinct": f"WITH {RESULTS} SELECT DISTINCT arch_name FROM r WHERE app_name = 'R'",
     "perf_update": f"WITH {RESULTS} SELECT app_name, graph_name, arch_name, CASE WHEN arch_name = 'arch3' THEN 1.0 ELSE perf_val END::DOUBLE AS perf_val FROM r",

@@ -35,3 +35,41 @@ def fixpoint(step: Callable[[DataFrame, int, dict], DataFrame], state: DataFrame
         forget(spark, path)
         current, path = new, new_path
     return current.drop(changed) if changed is not None else current
+
+
+#: Tables that a growing state may consist of before they are merged.
+PIECES = 8
+
+
+class Pieces:
+    """A state that grows by what an iteration finds: a table for each iteration, merged now and then. An iteration writes what is new, not
+    all that is known."""
+
+    def __init__(self, first: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.name, self.merge = name, merge
+        self.tables = [materialize(first, name)]
+
+    @property
+    def last(self) -> DataFrame:
+        return self.tables[-1][0]
+
+    def all(self) -> DataFrame:
+        out = self.tables[0][0]
+        for table, _ in self.tables[1:]:
+            out = out.unionByName(table)
+        return self.merge(out)
+
+    def add(self, new: DataFrame) -> int:
+        """Writes new rows and returns how many there are."""
+        spark = new.sparkSession
+        table, path, seen = observed(new, self.name, n=F.count(F.lit(1)))
+        if not seen["n"]:
+            forget(spark, path)
+            return 0
+        if len(self.tables) >= PIECES:
+            merged = materialize(self.all(), self.name)
+            for _, old in self.tables:
+                forget(spark, old)
+            self.tables = [merged]
+        self.tables.append((table, path))
+        return seen["n"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, as the session names it. Only on one machine a temporary one may take its place."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="graphspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df once and reads it again; returns the table and its path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -26,3 +34,12 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def forget(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Writes df dealt out and sorted by a key, as the joins and groups of a loop need it: they then shuffle the other side alone, which is
+    a state or a frontier, and never df. There are as many buckets as shuffle partitions."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"graphspark_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)

@@ -96,14 +96,6 @@ def vertex_compute(s, d):
     return primitives.compute(state, primitives.new_frontier(state, i("x") >= 500), x=i("x") * 2)
 
 
-def reduction(agg):
-    def run(s, d):
-        g = dense(s, d)
-        return g.degrees().agg(primitives.fold(agg, i("degree")).alias("value"))
-
-    return run
-
-
 def exchange(s, d):
     g = dense(s, d)
     state = state_of(g)
@@ -135,9 +127,9 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def tc_pairs(method):
+def tc_pairs(method, make=G2):
     def run(s, d):
-        g = G2(s, d)
+        g = make(s, d)
         n = g.vertices.count()
         pairs = s.range(500).select(i("id").alias("pair_id"), F.pmod(i("id") * 7919, F.lit(n)).alias("src"), F.pmod(i("id") * 104729 + 1, F.lit(n)).alias("dst"))
         return paths.reachable(g, pairs, method)
@@ -145,9 +137,12 @@ def tc_pairs(method):
     return run
 
 
-def walk(s, d):
-    g = G2(s, d)
-    return walks.random_walk(g, g.vertices.select(i("id").alias("walk"), "id"), 10).select("walk", "start", "end")
+def walk_over(make):
+    def run(s, d):
+        g = make(s, d)
+        return walks.random_walk(g, g.vertices.select(i("id").alias("walk"), "id"), 10).select("walk", "start", "end")
+
+    return run
 
 
 def max_flow(s, d):
@@ -186,7 +181,6 @@ def logs(s, d):
 
 
 def generated(kind):
-    """Checks of what the generators promise; hashes of the two engines differ, so degrees have no SQL."""
     def run(s, d):
         g = generators.rmat(s, 10, 8192, seed=1) if kind == "rmat" else generators.uniform(s, 1024, 8192, seed=1)
         return analytics.degree_histogram(g)
@@ -229,7 +223,7 @@ QUERIES = {
     "hub_share": lambda s, d: analytics.hub_share(dense(s, d)),
     "top_degree": lambda s, d: dense(s, d).degrees().orderBy(F.desc("degree"), "id").limit(20),
     "isolated_vertices": lambda s, d: (lambda g: g.degrees("both").where("degree = 0").select("id"))(sparse(s, d)),
-    "vertices_with_arcs": lambda s, d: sparse(s, d).edges.agg(F.countDistinct("src").alias("n")),
+    "vertices_with_arcs": lambda s, d: s.createDataFrame([(transforms.count_with_arcs(sparse(s, d)),)], "n long"),
     "transpose_degree": lambda s, d: transforms.transpose(sparse(s, d)).degrees(),
     "symmetrize_count": lambda s, d: transforms.symmetrize(sparse(s, d)).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")),
     "dedup_arcs": lambda s, d: transforms.remove_multi_arcs(transforms.symmetrize(sparse(s, d))).edges.select("src", "dst"),
@@ -240,7 +234,6 @@ QUERIES = {
     "first_neighbours": lambda s, d: paths.first_neighbours(dense(s, d)),
     "csr_offsets": csr, "ligra_lines": ligra, "edge_segments": segments, "edge_lookup": matched_edges,
     "edge_list_lines": lambda s, d: edge_list_lines(sparse(s, d)),
-    "reduce_sum": reduction("sum"), "reduce_min": reduction("min"), "reduce_max": reduction("max"), "reduce_avg": reduction("avg"),
     "frontier_gnf": frontier_gnf,
     "frontier_stats": lambda s, d: (lambda g: primitives.frontier_stats(g, primitives.new_frontier(g.degrees(), i("degree") > 15)))(dense(s, d)),
     "scatter_min": primitive("scatter", "min"), "scatter_max": primitive("scatter", "max"), "scatter_sum": primitive("scatter", "sum"), "gather_min": primitive("gather", "min"), "gather_sum": gather_neighbours,
@@ -261,10 +254,10 @@ QUERIES = {
     "scc_sizes": lambda s, d: components.size_histogram(scc.strong_components(G3(s, d))),
     "condensation": lambda s, d: (lambda g: scc.condensation(g, scc.strong_components(g)))(G2(s, d)),
     "tc_pairs": tc_pairs("condensed"), "tc_pairs_bfs": tc_pairs("bfs"),
-    "label_prop": label_rounds(3), "label_prop_previous": label_rounds(3, "previous"), "label_prop_recent": label_rounds(3, "recent"), "label_prop_inner": label_rounds(3, "inner"),
+    "label_prop": label_rounds(3), "label_prop_previous": label_rounds(3, "previous"), "label_prop_recent": label_rounds(8, "recent"), "label_prop_inner": label_rounds(3, "inner"),
     "community_sizes": lambda s, d: label_rounds(3)(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("size")),
     "coloring": lambda s, d: colouring.colour(G2(s, d)), "coloring_check": colouring_check,
-    "random_walk": walk, "max_flow": max_flow,
+    "random_walk": walk_over(G2), "max_flow": max_flow,
     "perf_find": lambda s, d: rating.find(results(s, d), {"app_name": "A"}, ["graph_name", "arch_name", "perf_val"]),
     "perf_distinct": lambda s, d: rating.distinct_values(results(s, d), {"app_name": "R"}, "arch_name"),
     "perf_update": lambda s, d: rating.update_many(results(s, d), {"arch_name": "arch3"}, {"perf_val": 1.0}),
@@ -276,5 +269,9 @@ QUERIES = {
     "category_enrich": lambda s, d: rating.enrich(names(s, d)),
     "page_extract": lambda s, d: text.page_fields(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")),
     "log_extract": logs,
+    "bfs_dense": bfs_query(stored(dense)), "sssp_dense": path_query(paths.sssp, stored(dense)), "sssp_pull_dense": path_query(paths.sssp, stored(dense), direction="pull"), "sswp_dense": path_query(paths.sswp, stored(dense)),
+    "cc_dense": lambda s, d: components.connected_components(stored(dense)(s, d)), "scc_dense": lambda s, d: scc.strong_components(stored(dense)(s, d)),
+    "hits_dense": lambda s, d: rounded(ranking.hits(stored(dense)(s, d)), 8, "authority", "hub"),
+    "label_prop_dense": lambda s, d: labels.label_propagation(stored(dense)(s, d), 3), "random_walk_dense": walk_over(stored(dense)), "tc_pairs_dense": tc_pairs("condensed", stored(dense)),
     "rmat_degree_stats": generated("rmat"), "uniform_degree_stats": generated("uniform"),
 }

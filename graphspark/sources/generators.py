@@ -12,9 +12,14 @@ from graphspark.operators.transforms import shuffle_labels
 QUADRANTS = (57, 19, 19, 5)
 
 
+def digest(*parts) -> Column:
+    """Hexadecimal digits that depend on the parts alone, and that other engines can repeat."""
+    return F.md5(F.concat_ws("/", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]).cast("binary"))
+
+
 def uniform01(*parts) -> Column:
     """A number in [0, 1) that depends on its parts alone."""
-    return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), F.lit(1 << 53)) / float(1 << 53)
+    return F.conv(F.substring(digest(*parts), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def finish(spark: SparkSession, arcs: DataFrame, vertices: int, directed: bool) -> Graph:
@@ -25,15 +30,17 @@ def finish(spark: SparkSession, arcs: DataFrame, vertices: int, directed: bool)
 
 
 def rmat(spark: SparkSession, scale: int, edges: int, quadrants: tuple[int, int, int, int] = QUADRANTS, directed: bool = True, seed: int = 0, shuffle: bool = False) -> Graph:
-    """2**scale vertices; each bit of both ends is chosen by a quadrant. Every bit is a column expression of the arc's number."""
+    """2**scale vertices; each bit of both ends is chosen by a quadrant. Every bit is a column expression of a digest of the arc's number."""
     a, b, c, _ = quadrants
     src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
     for bit in range(scale):
-        u = uniform01(F.col("id"), seed, bit)
+        # A digest has eight numbers of 16 bits.
+        u = F.conv(F.substring(F.col(f"d{bit // 8}"), 1 + 4 * (bit % 8), 4), 16, 10).cast("long") / 65536.0
         down = F.when(u >= (a + b) / 100, F.lit(1 << bit)).otherwise(F.lit(0))
         right = F.when(((u >= a / 100) & (u < (a + b) / 100)) | (u >= (a + b + c) / 100), F.lit(1 << bit)).otherwise(F.lit(0))
         src, dst = src + down, dst + right
-    g = finish(spark, spark.range(edges).select(src.alias("src"), dst.alias("dst")), 1 << scale, directed)
+    drawn = spark.range(edges).select(*[digest(F.col("id"), seed, k).alias(f"d{k}") for k in range(-(-scale // 8))])
+    g = finish(spark, drawn.select(src.alias("src"), dst.alias("dst")), 1 << scale, directed)
     return shuffle_labels(g, seed) if shuffle else g
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
+from graphspark.plans.tables import forget, materialize
 from graphspark.sources import generators, text
 
 # Fixed values of the container: V as int32, E as int64, the kind of file as int32, then all sources and all ends as int32.
@@ -27,15 +28,38 @@ def load(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
 
 
+#: Arcs of a piece that goes through the driver as a whole, on its way into a container.
+CONTAINER_PIECE = 1 << 20
+
+
 def write_container(g: Graph, path: str, kind: int = EDGES_CONTAINER) -> None:
-    """One local file; arcs are streamed through the driver a partition at a time, once for the sources and once for the ends."""
-    arcs = g.edges.select("src", "dst").orderBy("src", "dst").cache()
+    """One local file. The format asks for all sources and then all ends, so one writer has to see both: executors sort the arcs and pack them
+    into pieces, which are written to the shared folder, and the driver copies these one by one, in order."""
+
+    def pack(batches):
+        held, n = [], 0
+
+        def piece():
+            src, dst = (np.concatenate(c).astype("<i4").tobytes() for c in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0][0]], pa.int64()), pa.array([held[0][1][0]], pa.int64()), pa.array([n], pa.int64()), pa.array([src], pa.binary()), pa.array([dst], pa.binary())], names=["s", "d", "n", "src", "dst"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                n += batch.num_rows
+            if n >= CONTAINER_PIECE:
+                yield piece()
+                held, n = [], 0
+        if n:
+            yield piece()
+
+    pieces, where = materialize(g.edges.select("src", "dst").orderBy("src", "dst").mapInArrow(pack, "s long, d long, n long, src binary, dst binary"), "container")
     with open(path, "wb") as f:
-        f.write(struct.pack(HEADER, g.vertices.count(), arcs.count(), kind))
+        f.write(struct.pack(HEADER, g.vertices.count(), pieces.agg(F.sum("n")).first()[0] or 0, kind))
         for column in ("src", "dst"):
-            for row in arcs.select(F.col(column).cast("int")).toLocalIterator(prefetchPartitions=True):
-                f.write(struct.pack("<i", row[0]))
-    arcs.unpersist()
+            for row in pieces.orderBy("s", "d", "n").select(column).toLocalIterator():
+                f.write(row[0])
+    forget(g.spark, where)
 
 
 def read_container(spark: SparkSession, path: str) -> Graph:

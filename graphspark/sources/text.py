@@ -14,12 +14,10 @@ def read_edge_list(spark: SparkSession, path: str, directed: bool = True, commen
     the largest id; a negative id is an error. skip_lines needs one file, whose lines are numbered as they are read."""
     lines = spark.read.text(path)
     if skip_lines:
-        head = {r["value"] for r in lines.limit(skip_lines).collect()}
-        if len(head) < skip_lines or any(h.lstrip("-").split()[:1] and h.split()[0].lstrip("-").isdigit() for h in head):
-            numbered = lines.rdd.zipWithIndex().filter(lambda x: x[1] >= skip_lines).map(lambda x: x[0])
-            lines = spark.createDataFrame(numbered, "value string")
-        else:
-            lines = lines.where(~F.col("value").isin(*head))
+        # Spark reads a file in splits of ascending offsets; rows are numbered by split and place, and the first ones left out.
+        placed = lines.select("value", F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("place"))
+        last = placed.orderBy("split", "place").limit(skip_lines).agg(F.max(F.struct("split", "place")).alias("last"), F.count(F.lit(1)).alias("n")).first()
+        lines = placed.where((F.col("split") > last["last"]["split"]) | (F.col("split") == last["last"]["split"]) & (F.col("place") > last["last"]["place"])).select("value") if last["n"] else lines
     marks = "".join(f"\\{c}" for c in comment)
     fields = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     rows = lines.where(F.col("value").rlike(r"^\s*-?\d+\s+-?\d+(\s|$)") & ~F.col("value").rlike(rf"^\s*[{marks}]"))
@@ -67,13 +65,23 @@ def write_ligra(g: Graph, path: str) -> None:
     ligra_lines(g).orderBy("section", "place", "other").select("value").write.text(path)
 
 
-def dot_lines(g: Graph, flows: DataFrame | None = None, source: int | None = None, sink: int | None = None) -> list[str]:
-    """Lines of a drawing of a small graph. With flows(src, dst, capacity, flow) arcs are labelled flow/capacity."""
-    lines = ["digraph G {"]
-    lines += [f'{v}[label="{name}"];' for v, name in ((source, "source"), (sink, "sink")) if v is not None]
+def dot_rows(g: Graph, flows: DataFrame | None = None) -> DataFrame:
+    """src, dst, value: a line of a drawing for each arc. With flows(src, dst, capacity, flow) arcs are labelled flow/capacity."""
     if flows is None:
-        lines += [f"{r['src']} -> {r['dst']};" for r in g.edges.select("src", "dst").orderBy("src", "dst").toLocalIterator()]
-    else:
-        rows = flows.select("src", "dst", F.least("flow", "capacity").alias("flow"), "capacity").orderBy("src", "dst").toLocalIterator()
-        lines += [f'{r["src"]} -> {r["dst"]} [label = " {r["flow"]:g}/{r["capacity"]:g} "];' for r in rows]
-    return [*lines, "}"]
+        return g.edges.select("src", "dst", F.format_string("%d -> %d;", "src", "dst").alias("value"))
+    plain = lambda c: F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    label = F.concat(F.lit(' [label = " '), plain(F.least("flow", "capacity")), F.lit("/"), plain(F.col("capacity")), F.lit(' "];'))
+    return flows.select("src", "dst", F.concat(F.format_string("%d -> %d", "src", "dst"), label).alias("value"))
+
+
+#: Arcs that a drawing has at most.
+DRAWN = 100_000
+
+
+def dot_lines(g: Graph, flows: DataFrame | None = None, source: int | None = None, sink: int | None = None) -> list[str]:
+    """Lines of a drawing of a small graph, on the driver; a larger one raises (dot_rows has its lines as a table)."""
+    rows = dot_rows(g, flows).orderBy("src", "dst").limit(DRAWN + 1).collect()
+    if len(rows) > DRAWN:
+        raise ValueError(f"a drawing has {DRAWN} arcs at most")
+    lines = ["digraph G {", *(f'{v}[label="{name}"];' for v, name in ((source, "source"), (sink, "sink")) if v is not None)]
+    return [*lines, *(r["value"] for r in rows), "}"]

@@ -94,6 +94,8 @@ def test_files(spark, m1, tmp_path):
     assert files.read_edge_list(spark, str(source), directed=False).edges.count() == 6
     source.write_text("1 2\n" * 6 + "4 5\n")
     assert arcs(files.read_edge_list(spark, str(source), skip_lines=6)) == [(4, 5)]
+    source.write_text("7 7\n1 2\n7 7\n")
+    assert arcs(files.read_edge_list(spark, str(source), skip_lines=1)) == [(1, 2), (7, 7)]
     source.write_text("-1 2\n")
     with pytest.raises(ValueError):
         files.read_edge_list(spark, str(source))
@@ -167,6 +169,34 @@ def test_stream_of_edges(spark, tmp_path):
     assert R.column(s.state, "component") == {0: 0, 1: 0, 2: 0, 7: 7, 8: 7}
 
 
+@pytest.mark.parametrize("app", cli.APPS)
+def test_cli_checks(spark, tmp_path, capsys, app):
+    assert cli.main(["run", app, "-gen", "-s", "4", "-e", "3", "-it", "2", "-check"]) == 0
+    out = capsys.readouterr().out
+    assert "AVG_PERF:" in out and "error count: 0" in out
+
+
+def test_loops_move_no_arcs(spark):
+    """Arcs stored by their join key aren't shuffled again, even if nothing is broadcast."""
+    from graphspark.plans.tables import bucketed
+
+    g = generators.uniform(spark, 500, 4000, seed=3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arcs = bucketed(g.edges, "arcs", "src")
+        sent = g.vertices.select(F.col("id").alias("src")).join(arcs, "src").groupBy("dst").count()
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        arcs_by_end = bucketed(g.edges, "arcs", "dst")
+        pulled = arcs_by_end.join(F.broadcast(g.vertices.select(F.col("id").alias("src"))), "src").groupBy("dst").count()
+        other = pulled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One exchange of the vertices and one of the messages; pulling needs the broadcast alone.
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 1
+    assert other.count("Exchange hashpartitioning") == 0 and other.count("BroadcastExchange") == 1
+
+
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["convert", "-gen", "-s", "4", "-e", "3", "-o", str(tmp_path / "g")]) == 0
     assert cli.main(["run", "bfs", "-load", str(tmp_path / "g"), "-check"]) == 0
