@@ -38,8 +38,12 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Writes df dealt out and sorted by a key, as the joins and groups of a loop need it: they then shuffle the other side alone, which is
-    a state or a frontier, and never df. There are as many buckets as shuffle partitions."""
+    a state or a frontier, and never df. There are as many buckets as shuffle partitions. What the optimizer finds small enough to be broadcast
+    to every join isn't dealt out: nothing of it would be shuffled."""
     spark = df.sparkSession
+    most = re.fullmatch(r"(-?\d+)b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), re.I)
+    if int(most[1] if most else 0) > int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())):
+        return materialize(df, name)[0]
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"graphspark_{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
