@@ -197,6 +197,26 @@ def test_loops_move_no_arcs(spark):
     assert other.count("Exchange hashpartitioning") == 0 and other.count("BroadcastExchange") == 1
 
 
+def test_searches_of_any_size_agree(spark, monkeypatch):
+    """One table of all vertices and several hops in a job, one hop in a job, and a table of what each iteration finds."""
+    from graphspark.operators import paths
+    from graphspark.plans import loop
+
+    g = generators.uniform(spark, 60, 150, seed=5)
+    g = Graph(g.vertices, g.edges.withColumn("weight", F.pmod(F.col("src") * 7 + F.col("dst") * 3, F.lit(11)).cast("double"))).stored()
+
+    def found():
+        runs = paths.bfs(g, 0), paths.bfs(g, 0, strategy="pull"), paths.sssp(g, 0), paths.sssp(g, 0, mode="all", direction="pull"), paths.sswp(g, 0)
+        return [sorted(map(tuple, r.collect())) for r in runs]
+
+    small = found()
+    assert small[0] == small[1] and small[2] == small[3]
+    monkeypatch.setattr(paths, "SMALL_ARCS", 0)
+    assert found() == small
+    monkeypatch.setattr(loop, "WHOLE_ROWS", 0)
+    assert found() == small
+
+
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["convert", "-gen", "-s", "4", "-e", "3", "-o", str(tmp_path / "g")]) == 0
     assert cli.main(["run", "bfs", "-load", str(tmp_path / "g"), "-check"]) == 0
