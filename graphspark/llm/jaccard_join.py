@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import PACKED, Seen, bound_batches, buffers, byte_values, cell_filter, forget, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_pieces, word_spans
+from graphspark.llm.common import PACKED, Seen, among, bound_batches, buffers, byte_values, cell_filter, forget, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_pieces, word_spans
 from graphspark.llm.components import comparison_rows, connected_components, exact_links, with_sizes
 
 SHINGLE = 5
@@ -193,11 +193,10 @@ def read_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.ascontiguousarray(raw[:, : 4 * RUNS]).view(np.uint32), raw[:, 4 * RUNS :]
 
 
-def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which of the keys are some of these, which are sorted."""
-    if not len(some):
-        return np.zeros(keys.shape, bool)
-    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+def digest_halves(text) -> tuple:
+    """Two halves, as 64-bit numbers, of 128 bits of a text's SHA-256."""
+    digest = F.sha2(text.cast("binary"), 256)
+    return tuple(F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17))
 
 
 def path_keys(minima: np.ndarray, sketch: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +305,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class_id is the smallest id that links lead to; n_links counts the other rows linked directly, copies of equal text
     included; n_copies the rows of equal text.
 
-    1. Equal texts are one set, named by a 64-bit hash of the text. 2. In each of RUNS runs the sets are put in buckets
+    1. Equal texts are one set: equal in 128 bits of the SHA-256. Its name is the first half of these, or the second half where different
+    texts agree in the first; there are about n^2 / 2^65 such names for n texts (one in 6e9 texts, 270 in 1e11). 2. In each of RUNS runs the sets are put in buckets
     by a token of their own (a minimum of hashes); a bucket is split on further tokens until it is small, then its sets
     are compared by sketches. Buckets too large for a task are split so before they are sent; what tokens don't split is
     sent in blocks, each two of which meet. 3. Components of the links found so are candidates: their sets are compared exactly, each
@@ -318,9 +318,17 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     docs = docs.drop("class_id", "n_links", "n_copies")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sets = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
-    narrow = docs.withColumn("__set", F.xxhash64(text)).withColumn("__words", text.rlike(r"[^\x20\x09-\x0D]")).drop(text_col)
-    groups, _ = materialize(narrow.groupBy("__set").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("__words").alias("__words")), "jaccard-sets")
+    half, other = digest_halves(text)
+    halves = docs.select(id_col, half.alias("__half"), other.alias("__other"), text.rlike(r"[^\x20\x09-\x0D]").alias("__words"))
+    groups, _ = materialize(halves.groupBy("__half", "__other").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("__words").alias("__words")), "jaccard-sets")
+    clashes = [r["__half"] for r in groups.groupBy("__half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__half").collect()]
+
+    def name(half, other):
+        return F.when(half.isin(clashes), other).otherwise(half) if clashes else half
+
+    groups = groups.withColumn("__set", name(F.col("__half"), F.col("__other"))).drop("__half", "__other")
+    sets = docs.select(name(half, other).alias("id"), text.alias("text"))
+    narrow = docs.withColumn("__set", name(half, other)).withColumn("__words", text.rlike(r"[^\x20\x09-\x0D]")).drop(text_col)
     sketched, sketch_path = materialize(sketch_table(sets), "jaccard-sketches")
     edges = candidate_edges(sketched, groups.count())
     sized, _ = materialize(with_sizes(connected_components(edges, "a", "b")), "jaccard-candidates")
