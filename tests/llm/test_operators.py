@@ -147,6 +147,14 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch):
     assert tuple(got) == (1, 699, 699)
 
 
+def test_jaccard_texts_that_agree_in_half_of_their_digest(spark, docs, rows, monkeypatch):
+    halves = jaccard_join.digest_halves
+    monkeypatch.setattr(jaccard_join, "digest_halves", lambda text: (F.pmod(halves(text)[0], F.lit(5)), halves(text)[1]))
+    links, root = B.classes([B.word_shingles(t) for _, t, *_ in rows])
+    found = by_id(jaccard_join.similarity_classes(docs))
+    assert {i: (found[i]["class_id"], found[i]["n_links"]) for i, *_ in rows} == {rows[k][0]: (rows[root[k]][0], links[k]) for k in range(len(rows))}
+
+
 def altered(r, words, name, n=2):
     w = list(words)
     for k in r.sample(range(5, len(w) - 5), n):
@@ -193,6 +201,11 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_that_agree_in_half_of_their_digest(docs):
+    want = {i: (r["n_removed"], r["text"]) for i, r in by_id(line_dedup.dedup_lines(docs)).items()}
+    assert {i: (r["n_removed"], r["text"]) for i, r in by_id(line_dedup.dedup_lines(docs, name_bits=4)).items()} == want
+
+
 def test_line_spans():
     import pyarrow as pa
 
