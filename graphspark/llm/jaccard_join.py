@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.llm.common import PACKED, Seen, among, bound_batches, buffers, byte_values, cell_filter, forget, join_groups, materialize, minhash, mix, pack_arrays, packed_batch, passes, range_hashes, release_memory, split_by, to_part, word_pieces, word_spans
-from graphspark.llm.components import comparison_rows, connected_components, exact_links, with_sizes
+from graphspark.llm.components import BLOCK, CONNECT_BLOCK, comparison_rows, connected_components, exact_links, with_sizes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -298,8 +298,9 @@ def candidate_edges(sketched: DataFrame, n: int) -> DataFrame:
     return sketched.mapInArrow(send, PACKED).groupBy("part").applyInArrow(meet, "a long, b long")
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs, without its text: all other columns, and class_id, n_links, n_copies.
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, count_links: bool = True) -> DataFrame:
+    """One row per row of docs, without its text: all other columns, and class_id, n_links, n_copies. Without count_links there is no n_links;
+    the classes are the same, but pairs that are connected already needn't be compared.
 
     Sets are the shingles of SHINGLE words; two are linked if their exact Jaccard similarity is at least `similarity`.
     class_id is the smallest id that links lead to; n_links counts the other rows linked directly, copies of equal text
@@ -354,7 +355,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release_memory()
 
     members = sets.mapInArrow(content, "id long, data binary").join(sized, "id").groupBy("root", "members", "id", "weight").agg(F.first("data").alias("data"))
-    links, _ = materialize(exact_links(members, comparison_rows(sized), lambda column: [np.frombuffer(x.as_buffer(), "u8") for x in column], similarity), "jaccard-links")
+    links, _ = materialize(exact_links(members, comparison_rows(sized, BLOCK if count_links else CONNECT_BLOCK), lambda column: [np.frombuffer(x.as_buffer(), "u8") for x in column], similarity, count_links), "jaccard-links")
     roots, _ = materialize(connected_components(links, "id", "other"), "jaccard-classes")
     classes = roots.join(groups, roots["id"] == groups["__set"]).select("id", "root", "rep")
     smallest = classes.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("members"))
@@ -363,7 +364,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = groups.join(classes.join(counts, "id").withColumnRenamed("id", "__set"), "__set", "left")
     found = found.select("__set", "n_copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     joined = join_groups(narrow.drop("n_copies"), found, "__set", "n_copies", F.xxhash64(F.col(id_col).cast("string"), F.col("__set")))
-    return joined.withColumn("class_id", F.when(F.col("__words"), F.col("class_id")).otherwise(F.col(id_col))).withColumn("n_links", F.when(F.col("__words"), F.col("n_links")).otherwise(0).cast("long")).drop("__set", "__words")
+    joined = joined.withColumn("class_id", F.when(F.col("__words"), F.col("class_id")).otherwise(F.col(id_col))).withColumn("n_links", F.when(F.col("__words"), F.col("n_links")).otherwise(0).cast("long"))
+    return joined.drop("__set", "__words", *([] if count_links else ["n_links"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

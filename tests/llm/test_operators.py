@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import llm.brute as B
-from graphspark.llm import ann, common, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
+from graphspark.llm import ann, common, components, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string"
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -195,6 +195,36 @@ def test_jaccard_wide_buckets(spark, monkeypatch):
     assert [found[2400 + k]["n_links"] for k in range(401)] == links and {found[2400 + k]["class_id"] for k in range(401)} == {2400}
 
 
+def test_connected_sets(monkeypatch):
+    """The components of all pairs, of which hardly any are compared where most are connected or far apart."""
+    r, compared = np.random.default_rng(3), []
+    base = [r.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[r.random(200) < keep], r.integers(0, 1 << 63, int(200 * (1 - keep)), dtype=np.uint64)])) for b in base for keep in [0.95] * 80 + [0.85] * 40 + [0.5] * 40]
+    shared = components.shared_with
+    monkeypatch.setattr(components, "shared_with", lambda one, others: compared.extend(others) or shared(one, others))
+    both, size = components.overlaps(sets), np.array([len(s) for s in sets])
+    near = 100 * both >= 80 * (size[:, None] + size - both)
+    np.fill_diagonal(near, False)
+    assert (components.connected(sets, None, 80, 100) == components.local_roots(near)).all()
+    assert near.sum() // 2 > 4 * len(compared)
+    side = r.integers(0, 2, len(sets))
+    assert (components.connected(sets, side, 80, 100) == components.local_roots(near & (side[:, None] != side))).all()
+
+
+def test_classes_without_counts(docs, spark):
+    """Without counted links the classes are the same, within a block and across blocks."""
+    r = random.Random(8)
+    base = prose(r, 60).split()
+    near = [" ".join(r.choice(VOCABULARY) if r.random() < p else w for w in base) for p in [0.01] * 150 + [0.04] * 150]
+    many = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(near)], "doc_id long, text string"))
+    want = {(x["doc_id"], x["class_id"], x["n_copies"]) for x in jaccard_join.similarity_classes(many).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        for block in (components.CONNECT_BLOCK, 64):
+            m.setattr(components, "CONNECT_BLOCK", block)
+            found = jaccard_join.similarity_classes(many, count_links=False)
+            assert "n_links" not in found.columns and {(x["doc_id"], x["class_id"], x["n_copies"]) for x in found.collect()} == want
+
+
 def test_line_dedup(docs, rows, empty):
     found = by_id(line_dedup.dedup_lines(docs))
     assert {i: r["text"] for i, r in found.items()} == B.kept_lines([(i, t) for i, t, *_ in rows])
