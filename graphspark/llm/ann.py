@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,7 +67,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for lo in range(0, len(x), step):
         d = norms - 2 * (x[lo : lo + step] @ x.T)
         d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-        out.append(np.argpartition(d, k - 1, 1)[:, :k])
+        out.append(np.argpartition(d, k - 1, 1)[:, :k].copy())  # a view would keep the whole block
     return np.concatenate(out)
 
 
@@ -244,11 +245,23 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     u = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) / float(1 << 30)
     rate = min(0.9, max(SAMPLE, SAMPLE_A_PARTITION * wanted) / total)
 
-    def draw(condition) -> tuple[np.ndarray, np.ndarray]:
-        drawn = sorted({r["vec_id"]: r["embedding"] for r in rows.where((F.size("embedding") == dim) & condition).collect()}.items())
-        return np.array([i for i, _ in drawn], np.int64), np.array([v for _, v in drawn], np.float64).reshape(-1, dim)
+    def drawn(condition) -> DataFrame:
+        return rows.where((F.size("embedding") == dim) & condition).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
-    model = fit(draw(u < rate)[1], wanted)
+    def read(batches) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in their order, and vectors."""
+        held = [(b.column(0).to_numpy(), to_matrix(b.column(1), dim)) for b in batches if b.num_rows]
+        ids, x = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros((0, dim)))
+        order = np.argsort(ids)
+        return ids[order], x[order]
+
+    def learn(batches):
+        model = fit(read(batches)[1], wanted)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        release_memory()
+
+    # In one task, so that the sample, which has an upper bound, is never the driver's.
+    model = pickle.loads(drawn(u < rate).repartition(1).mapInArrow(learn, "model binary").collect()[0]["model"])
     odd = model.parts
     shared = spark.sparkContext.broadcast(model)
     indexed = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("part", T.IntegerType()), T.StructField("deal", T.IntegerType())])
@@ -270,7 +283,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     index, _ = materialize(rows.mapInArrow(assign, indexed), "ann-index")
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
-    ids, q = draw((u >= rate) & (u < rate + CALIBRATION / total))
+    ids, q = read(drawn((u >= rate) & (u < rate + CALIBRATION / total)).toArrow().to_batches())
     recall = calibrate(index, model, ids, q, k) if model.parts > 1 and len(ids) else np.array([0.0] * (model.parts - 1) + [1.0])
     probes = int(np.argmax(recall >= target)) + 1 if (recall >= target).any() else model.parts
     if report is not None:

@@ -517,6 +517,18 @@ def test_ann_odd_vectors(spark):
     assert found[100] == [(101, 1.0), (102, 2.0), (102, 9.0)]
 
 
+def test_ann_neighbour_graph_memory():
+    """What is held at once is blocks of pairs, not all pairs of the sample."""
+    import tracemalloc
+
+    x = np.random.default_rng(0).normal(size=(6000, 8))
+    tracemalloc.start()
+    assert ann.neighbour_graph(x, 10).shape == (6000, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6000 * 8 * 0.6
+
+
 def test_ann_recall_and_probes(spark):
     """On clustered vectors few partitions are probed; on the tables' own, as many as recall asks for. Recall is measured on all queries."""
     r = np.random.default_rng(6)
