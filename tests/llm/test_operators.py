@@ -247,6 +247,15 @@ def test_line_spans():
     assert got == [[], [(0, "a"), (2, "b")], [(0, "x"), (1, "y")], [], [], [(0, "é ñ"), (1, "ü")]]
 
 
+def test_filter_grows(spark):
+    """A filter passes every id of its own, and few others however many it holds."""
+    ids = spark.range(600_000).select(F.xxhash64("id").alias("id"))
+    bits, own = common.cell_filter(ids, "id"), np.array([r["id"] for r in ids.limit(2000).collect()])
+    others = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, 20_000)
+    assert common.passes(bits, own).all() and common.passes(bits, others).mean() < 0.15
+    assert len(common.cell_filter(ids.limit(0), "id")) * 32 == common.FILTER_CELLS
+
+
 def test_minhash_estimates():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
