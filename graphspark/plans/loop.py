@@ -37,86 +37,5 @@ def fixpoint(step: Callable[[DataFrame, int, dict], DataFrame], state: DataFrame
     return current.drop(changed) if changed is not None else current
 
 
-#: Tables that a growing state may consist of before they are merged.
-PIECES = 8
-
-
-class Pieces:
-    """A state that grows by what an iteration finds: a table for each iteration, merged now and then. An iteration writes what is new, not
-    all that is known."""
-
-    def __init__(self, first: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.name, self.merge = name, merge
-        self.tables = [materialize(first, name)]
-
-    @property
-    def last(self) -> DataFrame:
-        return self.tables[-1][0]
-
-    def all(self) -> DataFrame:
-        out = self.tables[0][0]
-        for table, _ in self.tables[1:]:
-            out = out.unionByName(table)
-        return self.merge(out)
-
-    def add(self, new: DataFrame) -> int:
-        """Writes new rows and returns how many there are."""
-        spark = new.sparkSession
-        table, path, seen = observed(new, self.name, n=F.count(F.lit(1)))
-        if not seen["n"]:
-            forget(spark, path)
-            return 0
-        if len(self.tables) >= PIECES:
-            merged = materialize(self.all(), self.name)
-            for _, old in self.tables:
-                forget(spark, old)
-            self.tables = [merged]
-        self.tables.append((table, path))
-        return seen["n"]
-
-
-#: Vertices of a graph whose searches keep one table of them all: rewriting so few rows costs less than reading several tables.
-WHOLE_ROWS = 1 << 20
-
-
-class Reached:
-    """id, value of the vertices that a search has reached. better(offer, value) says whether an offer takes the place of a value, or of
-    `absent` where there is none.
-
-    Of up to WHOLE_ROWS vertices one table holds all, reached or not, and is written anew in each iteration; of more, an iteration writes
-    the rows that it finds (Pieces)."""
-
-    def __init__(self, vertices: DataFrame, source: int, start: Column, absent: Column, better: Callable[[Column, Column], Column], best: Callable[[Column], Column], name: str):
-        self.vertices, self.absent, self.better, self.name, self.pieces = vertices.select("id"), absent, better, name, None
-        self.rows = 1
-        at = F.col("id") == source
-        if vertices.count() <= WHOLE_ROWS:
-            self.whole, self.path = materialize(self.vertices.select("id", F.when(at, start).alias("value"), at.alias("fresh")), name)
-        else:
-            self.pieces = Pieces(self.vertices.where(at).select("id", start.alias("value")), name, lambda df: df.groupBy("id").agg(best(F.col("value")).alias("value")))
-
-    @property
-    def last(self) -> DataFrame:
-        return self.pieces.last if self.pieces else self.whole.where("fresh").select("id", "value")
-
-    def all(self) -> DataFrame:
-        return self.pieces.all() if self.pieces else self.whole.where("value is not null").select("id", "value")
-
-    def offer(self, offers: DataFrame) -> int:
-        """Takes offers(id, offer), one a vertex at most; returns how many were better."""
-        taken = self.better(F.col("offer"), F.coalesce("value", self.absent))
-        if self.pieces:
-            n = self.pieces.add(offers.join(self.all(), "id", "left").where(taken).select("id", F.col("offer").alias("value")))
-        else:
-            taken = F.col("offer").isNotNull() & taken
-            rows = self.whole.join(offers, "id", "left").select("id", F.when(taken, F.col("offer")).otherwise(F.col("value")).alias("value"), taken.alias("fresh"))
-            new, path, seen = observed(rows, self.name, n=F.count_if("fresh"))
-            forget(rows.sparkSession, self.path)
-            self.whole, self.path, n = new, path, seen["n"]
-        self.rows += n
-        return n
-
-    def result(self) -> DataFrame:
-        """id, value of every vertex."""
-        rows = self.vertices.join(self.all(), "id", "left") if self.pieces else self.whole
-        return rows.select("id", F.coalesce("value", self.absent).alias("value"))
+#: Vertices that a task holds at once with its arcs (see blocks).
+WHOLE_ROWS = 1 << 22
