@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphspark.plans import loop
 from graphspark.plans.loop import observed
-from graphspark.plans.tables import forget, new_path
+from graphspark.plans.tables import forget, new_path, shuffles_deleted
 
 #: Arcs of a block, about: what a task holds (some hundred MB with all that it needs of them).
 BLOCK_ARCS = 1 << 22
@@ -202,7 +202,8 @@ class Blocks:
         self.path = new_path(spark, "blocks")
         self.table = "graphspark_" + self.path.rpartition("/")[2].replace("-", "_")
         built = rows.repartition(self.n, "part").groupBy("part").applyInArrow(build, PACKED)
-        built.write.format("parquet").bucketBy(self.n, "part").sortBy("part").option("path", self.path).option("compression", "lz4").saveAsTable(self.table)
+        with shuffles_deleted(spark):
+            built.write.format("parquet").bucketBy(self.n, "part").sortBy("part").option("path", self.path).option("compression", "lz4").saveAsTable(self.table)
         self.static = spark.table(self.table)
 
     def part(self, column: str) -> Column:
