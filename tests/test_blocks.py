@@ -5,7 +5,8 @@ import itertools
 import pytest
 
 import reference_graphs as R
-from graphspark.operators import paths
+from graphspark.operators import components, paths
+from graphspark.plans import loop
 
 _groups = itertools.count()
 
@@ -54,3 +55,21 @@ def test_many_pairs_in_blocks(spark, monkeypatch, method):
 def test_pairs_cost_bits_not_rows(spark, path):
     pairs = spark.range(64).selectExpr("id pair_id", "id src", "300 - id dst")
     assert jobs_of(spark, lambda: paths.reachable(path, pairs, "bfs")) < 80
+
+
+def test_components_of_long_paths_take_few_jobs(spark, path):
+    for method in ("hook", "bfs"):
+        assert jobs_of(spark, lambda: components.connected_components(path, method)) < 30
+        assert set(R.column(components.connected_components(path, method), "component").values()) == {0}
+
+
+def test_components_in_parts_agree(spark, monkeypatch):
+    """Stars of many tasks, labels of many blocks, and rounds over all arcs."""
+    n, arcs = 80, R.random_arcs(3, 80, 75)
+    g, want = R.graph(spark, arcs, n).stored(), R.components(80, arcs)
+    monkeypatch.setattr(components, "STAR_ROWS", 5)
+    monkeypatch.setattr(loop, "WHOLE_ROWS", 0)
+    assert R.column(components.connected_components(g), "component") == want
+    assert R.column(components.connected_components(g, "bfs"), "component") == want
+    monkeypatch.setattr(components, "MOST_ROWS", 0)
+    assert R.column(components.connected_components(g), "component") == want
