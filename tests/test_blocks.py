@@ -5,7 +5,7 @@ import itertools
 import pytest
 
 import reference_graphs as R
-from graphspark.operators import components, paths
+from graphspark.operators import colouring, components, flow, paths, scc
 from graphspark.plans import loop
 
 _groups = itertools.count()
@@ -73,3 +73,43 @@ def test_components_in_parts_agree(spark, monkeypatch):
     assert R.column(components.connected_components(g, "bfs"), "component") == want
     monkeypatch.setattr(components, "MOST_ROWS", 0)
     assert R.column(components.connected_components(g), "component") == want
+
+
+def test_strong_components_of_chains_take_few_jobs(spark, path):
+    """A chain of small cycles, which no trim shortens."""
+    arcs = [a for i in range(0, 90, 3) for a in ((i, i + 1, 1), (i + 1, i + 2, 1), (i + 2, i, 1), (i + 2, i + 3, 1))]
+    g = R.graph(spark, arcs, 91).stored()
+    assert jobs_of(spark, lambda: scc.strong_components(g)) < 20
+    assert R.column(scc.strong_components(g), "component") == R.strong(91, arcs)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_strong_components_and_colours_in_parts_agree(spark, monkeypatch, seed):
+    n, arcs = 60, R.random_arcs(seed + 20, 60, 110)
+    g = R.graph(spark, arcs, n).stored()
+    for limit in (1 << 20, 4):
+        monkeypatch.setattr(scc, "TASK_ARCS", limit)
+        monkeypatch.setattr(colouring, "TASK_ARCS", limit)
+        assert R.column(scc.strong_components(g), "component") == R.strong(n, arcs)
+        assert R.column(colouring.colour(g), "colour") == R.greedy_colours(n, arcs)
+        monkeypatch.setattr(loop, "WHOLE_ROWS", 0)
+
+
+def test_colours_of_a_path_take_few_jobs(spark, path):
+    assert jobs_of(spark, lambda: colouring.colour(path)) < 12
+
+
+def test_flow_hops_are_no_jobs(spark, path):
+    assert jobs_of(spark, lambda: flow.max_flow(path, 0, 200)[1]) < 80
+    assert flow.max_flow(path, 0, 200)[0] == 1
+
+
+def test_flow_in_blocks_is_the_same(spark, monkeypatch):
+    """The same paths are found, so the same arcs have flow."""
+    arcs = R.random_arcs(31, 25, 70)
+    g = R.graph(spark, arcs, 25).stored()
+    value, flows = flow.max_flow(g, 0, 24)
+    assert value == R.edmonds_karp(25, arcs, 0, 24)
+    monkeypatch.setattr(flow, "BLOCK_ARCS", 0)
+    other, others = flow.max_flow(g, 0, 24)
+    assert other == value and sorted(map(tuple, others.collect())) == sorted(map(tuple, flows.collect()))
